@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import mixing, piece_codec, repetition, token_files
+from treeloom.llm import mixing, piece_codec, repetition, stream_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_dedup.marked(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -34,6 +38,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_piece_codec": op2_piece_codec,
+    "op4_stream_dedup": op4_stream_dedup,
     "op6_mixing": op6_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -41,7 +46,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Row-wise regular expression of white space, as SQL string.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-SIZES_SQL = rf"SELECT *, len({_WORDS}) AS size FROM documents"
+OP4_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM t WINDOW w AS (PARTITION BY t)
+"""
 
 OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
@@ -94,4 +102,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_quality_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_stream_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op10_quality_rules": OP10_SQL}
