@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import mixing, piece_codec, repetition, stream_dedup, token_files
+from treeloom.llm import mixing, ngram_join, piece_codec, repetition, stream_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.marked(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_piece_codec": op2_piece_codec,
     "op4_stream_dedup": op4_stream_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
