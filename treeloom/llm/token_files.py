@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import RunCache, local_path, partitions, rows_of, shared_folder
+from treeloom.llm.common import RunCache, gather_runs, local_path, partitions, rows_of, shared_folder
 
 MOST_WORDS = 800_000
 NULL_ID = -(1 << 63)
@@ -73,20 +73,84 @@ class WordEncoder:
         #: A special token, which the library cuts out before anything else, to separate words in one call.
         self.mark = next(((t["content"], t["id"]) for t in json.load(open(path, encoding="utf-8"))["added_tokens"] if t["special"] and not t["normalized"]), None)
         self.cache = RunCache(MOST_WORDS)
+        self.ends, self.tails = None, {}
+        end = self.tokenizer.model.end_of_word_suffix if self.by_word else None
+        if end:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
+            if self.lower:
+                self.tails = {ord(c): self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ",."}
 
     def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that end in a letter and one comma or full stop are their stem's ids and the mark's."""
+        tailed = [w for w in words if len(w) > 1 and w[-1] in self.tails and 97 <= w[-2] <= 122] if self.tails else []
+        if not tailed:
+            return self._encode(words)
+        known = self.cache.known
+        stems = [w for w in dict.fromkeys(w[:-1] for w in tailed) if w not in known]
+        have = set(tailed)
+        whole = [w for w in words if w not in have]
+        fresh = set(whole)
+        stems = [w for w in stems if w not in fresh]
+        counts, flat = self._encode(whole + stems)
+        starts = np.cumsum(counts) - counts
+        at = {w: k for k, w in enumerate(whole + stems)}
+        base = len(flat)
+        old = [known[w[:-1]] for w in tailed if w[:-1] not in at]
+        flat = np.concatenate([flat, gather_runs(self.cache.flat, self.cache.starts[old], self.cache.counts[old]), np.array(list(self.tails.values()), np.uint32)])
+        old_ends = base + np.cumsum(self.cache.counts[old])
+        place = {t: len(flat) - len(self.tails) + k for k, t in enumerate(self.tails)}
+        runs_start, runs_count, sizes, n_old = [], [], [], 0
+        for w in words:
+            k = at.get(w if w not in have else w[:-1])
+            if k is not None:
+                runs_start.append(int(starts[k]))
+                runs_count.append(int(counts[k]))
+            else:
+                size = int(self.cache.counts[old[n_old]])
+                runs_start.append(int(old_ends[n_old]) - size)
+                runs_count.append(size)
+                n_old += 1
+            sizes.append(runs_count[-1])
+            if w in have:
+                runs_start.append(place[w[-1]])
+                runs_count.append(1)
+                sizes[-1] += 1
+        return np.array(sizes, np.int64), gather_runs(flat, np.array(runs_start, np.int64), np.array(runs_count, np.int64))
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids), from few calls of the library.
+
+        Words of letters alone are one pre-token each, whose last id ends a word: they are encoded
+        in one text. Others are separated by a special token.
+        """
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
         if self.mark is None or any(self.mark[0] in t for t in texts):
-            ids = [f.ids for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            return counts, np.fromiter((x for one in ids for x in one), np.uint32, int(counts.sum()))
-        counts, flat = [], []
-        for at in range(0, len(texts), 1024):
-            ids = np.array(self.tokenizer.encode(self.mark[0].join([*texts[at : at + 1024], ""]), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(ids == self.mark[1])
-            counts.append(np.diff(ends, prepend=-1) - 1)
-            flat.append(np.delete(ids, ends))
-        return np.concatenate(counts), np.concatenate(flat)
+            return self._each(texts)
+        letters = [k for k, t in enumerate(texts) if t.isalpha()] if self.ends is not None else []
+        rest = [k for k, t in enumerate(texts) if not t.isalpha()] if self.ends is not None else list(range(len(texts)))
+        counts, starts, flats, used = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [], 0
+        for group, plain in ((letters, True), (rest, False)):
+            for at in range(0, len(group), 1024):
+                own = group[at : at + 1024]
+                joint = " " if plain else self.mark[0]
+                ids = np.array(self.tokenizer.encode(joint.join([*(texts[k] for k in own), ""]), add_special_tokens=False).ids, np.uint32)
+                last = np.flatnonzero(self.ends[ids] if plain else ids == self.mark[1])
+                if len(last) != len(own):  # a letter that the library's tables don't know
+                    n, ids = self._each([texts[k] for k in own])
+                else:
+                    n = np.diff(last, prepend=-1) - (not plain)
+                    ids = ids if plain else np.delete(ids, last)
+                counts[own], starts[own] = n, used + np.cumsum(n) - n
+                used += len(ids)
+                flats.append(ids)
+        return counts, gather_runs(np.concatenate(flats), starts, counts)
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [f.ids for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return counts, np.fromiter((x for one in ids for x in one), np.uint32, int(counts.sum()))
 
     def _words(self, text: str | None) -> list[bytes]:
         """Words, with A-Z in lower case where the tokenizer does that anyway and no special token can arise from it."""
