@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeloom.llm.common import RunCache, gather_runs, rows_of
 
@@ -212,7 +213,7 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
 def encode_ids(docs: DataFrame, model: str) -> DataFrame:
     """docs with `ids` (array of int, begin and end included) in place of a column of that name."""
     kept = docs.drop(*(c for c in docs.columns if c.lower() == "ids"))
-    schema = kept.schema.add("ids", "array<int>")
+    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
