@@ -89,6 +89,8 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
             session.conf.set(name, value)
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Else each of the many small databases reserves megabytes on disk that it never fills.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     watch(session.readStream.schema(_KEYS).parquet(f"{base}/keys"), f"{base}/state", f"{base}/batches")
     state = state_of(spark, f"{base}/batches")
     hot = written(hot_counts(state, "digest"), "hot")
