@@ -10,11 +10,12 @@ A document is the set of its distinct 5-word shingles (64-bit hashes). Two link
    has no partner. Postings travel as numpy blobs by bucket of the hash; a shingle that is
    frequent within a task's block is settled there and posted twice only, so that a shingle in a
    third of all documents is a few numbers from each block.
-3. sets: only survivors' whole sets are fetched.
-4. cells: survivors that share a shingle of their 25 % + 1 least hashes, as partners must, get
-   into one connected cell, by stars sent to distributed connected components.
-5. links within cells: cells of more than PIVOT_CELL classes first compare all with a few pivots,
-   dealt over salts; what is linked so becomes one known component. Cells that are one component
+3. sets: only survivors' whole sets are fetched, and those go on of whose shingles at least
+   ceil(0.75 n) are in another survivor's set; so sharing a passage or line alone ends here.
+4. cells: survivors that share one of their rarest 25 % + 1 shingles, as partners must, get into
+   one connected cell, by stars sent to distributed connected components.
+5. links within cells: cells of more than PIVOT_CELL classes first compare all with PIVOTS pivots,
+   in shares of bounded bytes; what is linked so becomes one known component. Cells that are one component
    are finished. For others, classes outside the largest component search all of the cell, in
    blocks of bounded bytes; small cells are packed together. The search is `Finder`.
 6. components of all links, brought back to documents by tag, salted where a class is large.
@@ -38,7 +39,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,10 +48,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import components, hot_counts, partitions, rows_of, salted_join, written
+from treeloom.llm.common import components, gather_runs, hot_counts, partitions, rows_of, salted_join, written
 
 WIDTH = 5
-PIVOTS, PIVOT_CELL = 16, 64
+PIVOTS, PIVOT_CELL = 64, 64
 BLOCK_POSTINGS = 1 << 21
 LEAST_BLOCK, MOST_BLOCK = 64 << 10, 4 << 20
 _NONE = (1 << 63) - 1
@@ -253,7 +254,16 @@ def _flat(column: pd.Series, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in column]) if len(column) else np.empty(0, kind)
 
 
-def _shared_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
+def _first_posts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(tag, the (25 + 15) % of shingles with the least hashes) of texts."""
+    for part in rows_of(batches):
+        for text in part["text"]:
+            s = shingles(text)
+            if n := len(s):
+                yield _short(tag_of(s)), s[: n - least_overlap(n) + _extra(n)]
+
+
+def _shared_counts(rows: DataFrame, posts: Callable, n_buckets: int) -> DataFrame:
     """(tag64, n_shared): how many of a class's posted shingles another class posts too."""
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,21 +288,15 @@ def _shared_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
                 own, n = np.unique(tags[settled], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1 - int(own[0]) % n_buckets], pa.int64()), "c0": pa.array([n.astype("<u4").tobytes()], pa.binary()), "c1": pa.array([own.astype("<i8").tobytes()], pa.binary())})
 
-        for part in rows_of(batches):
-            for text in part["text"]:
-                s = shingles(text)
-                n = len(s)
-                if not n:
-                    continue
-                tag = _short(tag_of(s))
-                if tag in seen:
-                    continue
-                seen[tag] = n
-                tokens.append(s[: n - least_overlap(n) + _extra(n)])
-                held += len(tokens[-1])
-                if held >= BLOCK_POSTINGS:
-                    yield from block()
-                    seen, tokens, held = {}, [], 0
+        for tag, some in posts(batches):
+            if tag in seen:
+                continue
+            seen[tag] = len(some)
+            tokens.append(some)
+            held += len(some)
+            if held >= BLOCK_POSTINGS:
+                yield from block()
+                seen, tokens, held = {}, [], 0
         if held:
             yield from block()
 
@@ -318,7 +322,7 @@ def _shared_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
         return pd.DataFrame({"tag64": own, "n_shared": np.bincount(at, _flat(rows["c1"], "<i8"), len(own)).astype(np.int64)})
 
     blobs = "bucket long, c0 binary, c1 binary"
-    return docs.select("text").mapInArrow(post, blobs).groupBy("bucket").applyInPandas(meet, blobs).groupBy("bucket").applyInPandas(total, "tag64 long, n_shared long")
+    return rows.mapInArrow(post, blobs).groupBy("bucket").applyInPandas(meet, blobs).groupBy("bucket").applyInPandas(total, "tag64 long, n_shared long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -332,8 +336,54 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id").select("text", "tag64").mapInArrow(run, "tag64 long, n long, tokens binary")
 
 
-def _stars(sets: DataFrame, n_buckets: int) -> DataFrame:
-    """Edges (a, b) that connect all classes with a common shingle in their least 25 % + 1."""
+def _rare(sets: DataFrame, n_buckets: int) -> DataFrame:
+    """(tag64, prefix) of the sets of which enough is shared: their shared shingles among the rarest 25 % + 1.
+
+    Shingles are ordered by the number of sets that hold them, then by hash. Blocks of sets count
+    their own shingles first and get back one number for each distinct one.
+    """
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]
+    n_blocks = int(max(partitions(sets.sparkSession), total // MOST_BLOCK))
+    blocks = sets.select(F.pmod(F.xxhash64("tag64"), F.lit(n_blocks)).alias("block"), "tag64", "n", "tokens")
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        flat, n = np.unique(_flat(rows["tokens"], "<u8"), return_counts=True)
+        return _blobs(_buckets(flat, n_buckets), n_buckets, flat.astype("<u8"), n.astype("<u4")).to_pandas().assign(block=int(key[0]))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        flat, n = _flat(rows["c0"], "<u8"), _flat(rows["c1"], "<u4").astype(np.int64)
+        own, at = np.unique(flat, return_inverse=True)
+        sums = np.bincount(at, n, len(own)).astype(np.int64)[at]
+        out, start = [], 0
+        for block, raw in zip(rows["block"], rows["c0"], strict=True):
+            end = start + len(raw) // 8
+            many = sums[start:end] > 1
+            out.append((block, flat[start:end][many].tobytes(), sums[start:end][many].astype("<u8").tobytes()))
+            start = end
+        return pd.DataFrame(out, columns=["block", "c0", "c1"])
+
+    def choose(sets_: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        tokens, counts = _flat(found["c0"], "<u8"), _flat(found["c1"], "<u8")
+        order = np.argsort(tokens)
+        tokens, counts = tokens[order], counts[order]
+        out = []
+        for tag, n, raw in zip(sets_["tag64"], sets_["n"], sets_["tokens"], strict=True):
+            own = np.frombuffer(raw, "<u8")
+            at = np.searchsorted(tokens, own)
+            shared = np.flatnonzero((at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == own)) if len(tokens) else np.empty(0, np.int64)
+            quota = n - least_overlap(n) + 1 - (n - len(shared))
+            if quota > 0:
+                rare = np.lexsort((own[shared], counts[at[shared]]))[:quota]
+                out.append((tag, own[shared][rare].tobytes()))
+        return pd.DataFrame(out, columns=["tag64", "prefix"])
+
+    counts = blocks.select("block", "tokens").groupBy("block").applyInPandas(count, "block long, bucket long, c0 binary, c1 binary")
+    back = counts.groupBy("bucket").applyInPandas(meet, "block long, c0 binary, c1 binary")
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(choose, "tag64 long, prefix binary")
+
+
+def _stars(prefixes: DataFrame, n_buckets: int) -> DataFrame:
+    """Edges (a, b) that connect all classes with a common shingle in their prefixes."""
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[np.ndarray] = []
@@ -352,9 +402,8 @@ def _stars(sets: DataFrame, n_buckets: int) -> DataFrame:
 
         held = 0
         for batch in batches:
-            for tag, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                s = np.frombuffer(raw.as_buffer(), "<u8")
-                tokens.append(s[: n - least_overlap(n) + 1])
+            for tag, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens.append(np.frombuffer(raw.as_buffer(), "<u8"))
                 tags.append(tag)
                 held += len(tokens[-1])
                 if held >= BLOCK_POSTINGS:
@@ -375,34 +424,49 @@ def _stars(sets: DataFrame, n_buckets: int) -> DataFrame:
         edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
         return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
 
-    return sets.select("tag64", "n", "tokens").mapInArrow(post, "bucket long, c0 binary, c1 binary").groupBy("bucket").applyInPandas(meet, "a long, b long")
+    return prefixes.select("tag64", "prefix").mapInArrow(post, "bucket long, c0 binary, c1 binary").groupBy("bucket").applyInPandas(meet, "a long, b long")
+
+
+def _block_bytes(sets: DataFrame) -> int:
+    """How many bytes of sets a task gets at a time."""
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]
+    return max(LEAST_BLOCK, min(MOST_BLOCK, total // (4 * partitions(sets.sparkSession))))
+
+
+def _compare(key: tuple, members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Links between members and pivots: one count over all pivots for each member."""
+    sets = [np.frombuffer(x, "<u8") for x in pivots["tokens"]]
+    out = []
+    if sets and len(members):
+        flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, own = flat[order], own[order]
+        sizes, tags = pivots["n"].to_numpy(), pivots["tag64"].to_numpy()
+        for tag, n, raw in zip(members["tag64"], members["n"], members["tokens"], strict=True):
+            tokens = np.frombuffer(raw, "<u8")
+            left, right = np.searchsorted(flat, tokens), np.searchsorted(flat, tokens, "right")
+            both = np.bincount(gather_runs(own, left, right - left), minlength=len(sets))
+            out += [(tag, t) for t in tags[100 * both >= 75 * (n + sizes - both)] if t != tag]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def _pivot_links(sets: DataFrame, cells: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes of large cells and the cell's pivots, its PIVOTS least tags in hashed order."""
-    big = written(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > PIVOT_CELL), "large")
+    """Links (a, b) between the classes of large cells and the cell's pivots, PIVOTS classes by hash."""
+    rows = written(cells.join(sets.select("tag64", F.octet_length("tokens").alias("bytes")), "tag64"), "members")
+    block = _block_bytes(sets)
+    big = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") > PIVOT_CELL)
+    big = written(big.withColumn("shares", F.ceil(F.col("bytes") / block).cast("int")), "large")
     if big.isEmpty():
         return sets.sparkSession.createDataFrame([], "a long, b long")
-    hot = written(hot_counts(big, "cell"), "hot")
-    inside = salted_join(cells, big.select("cell"), "cell", hot, F.col("tag64"))
-    # The least few of each of 64 shares, then the least few of these: no task sees a whole cell.
-    few = inside.withColumn("h", F.xxhash64("tag64")).groupBy("cell", F.pmod("h", F.lit(64))).agg(F.min(F.struct("h", "tag64")).alias("p"))
-    few = few.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list("p")), 1, PIVOTS).alias("p")).select("cell", F.explode("p.tag64").alias("tag64"))
-    few = written(few.join(sets, "tag64").groupBy("cell").agg(F.collect_list(F.struct("tag64", "n", "tokens")).alias("pivots")), "pivots")
-    rows = salted_join(inside.join(sets, "tag64"), few, "cell", hot, F.col("tag64"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for tag, n, raw, pivots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                own = np.frombuffer(raw, "<u8")
-                for p in pivots:
-                    if p["tag64"] != tag and 4 * min(n, p["n"]) >= 3 * max(n, p["n"]) and linked(len(np.intersect1d(own, np.frombuffer(p["tokens"], "<u8"), assume_unique=True)), n, p["n"]):
-                        a.append(tag)
-                        b.append(p["tag64"])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.select("tag64", "n", "tokens", "pivots").mapInArrow(run, "a long, b long")
+    inside = salted_join(rows.select("tag64", "cell"), big.select("cell", "shares"), "cell", written(hot_counts(big, "cell"), "hot"), F.col("tag64"))
+    inside = inside.withColumn("h", F.xxhash64("tag64"))
+    # The least few of each of 1024 shares, then the least of these: no task sees a whole cell.
+    few = inside.groupBy("cell", F.pmod("h", F.lit(16 * PIVOTS)).alias("k")).agg(F.min(F.struct("h", "tag64")).alias("p"), F.first("shares").alias("shares"))
+    few = few.groupBy("cell").agg(F.slice(F.array_sort(F.collect_list("p")), 1, PIVOTS).alias("p"), F.first("shares").alias("shares")).select("cell", "shares", F.explode("p.tag64").alias("tag64"))
+    few = written(few.join(sets, "tag64").select("cell", "shares", "tag64", "n", "tokens"), "pivots").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    members = inside.withColumn("share", F.pmod(F.xxhash64(F.lit(3), "tag64"), F.col("shares")).cast("int")).join(sets, "tag64")
+    a, b = (x.select("cell", "share", "tag64", "n", "tokens").groupBy("cell", "share") for x in (members, few))
+    return a.cogroup(b).applyInPandas(_compare, "a long, b long")
 
 
 def _search(rows: pd.DataFrame) -> pd.DataFrame:
@@ -435,16 +499,14 @@ def _search(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _cell_links(sets: DataFrame, cells: DataFrame, known: DataFrame) -> DataFrame:
     """Links (a, b) that join what known(node, component) leaves apart within cells(tag64, cell)."""
-    spark = sets.sparkSession
     label = F.coalesce("component", "tag64")
     rows = sets.select("tag64", F.octet_length("tokens").alias("bytes")).join(cells, "tag64").join(known.withColumnRenamed("node", "tag64"), "tag64", "left").select("tag64", "cell", label.alias("label"), "bytes")
     rows = written(rows, "members")
     labels = written(rows.groupBy("cell", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")), "labels")
     state = labels.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("n_labels"), F.max(F.struct("bytes", "label")).alias("top"))
     state = written(state.where("n_labels > 1"), "open")
-    total = labels.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    block = max(LEAST_BLOCK, min(MOST_BLOCK, total // (4 * partitions(spark))))
-    packs = max(1, -(-total // block))
+    block = _block_bytes(sets)
+    packs = max(1, -(-(state.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // block))
     hot = written(hot_counts(state, "cell"), "hot")
     state = state.select("cell", F.ceil(F.col("bytes") / block).cast("int").alias("index_blocks"), F.ceil((F.col("bytes") - F.col("top.bytes")) / block).cast("int").alias("query_blocks"), F.col("top.label").alias("top"))
     rows = salted_join(rows, state, "cell", hot, F.col("tag64"))
@@ -470,11 +532,12 @@ def joined(docs: DataFrame) -> DataFrame:
     classes = written(classes.withColumn("tag64", _tag64("tag")), "classes")
     postings = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] * 0.4
     n_buckets = int(max(64, partitions(spark), postings // 1_000_000))
-    counts = _shared_counts(docs, n_buckets)
+    counts = _shared_counts(docs.select("text"), _first_posts, n_buckets)
     need = F.floor((15 * F.floor((3 * F.col("n_shingles") + 3) / 4) + 99) / 100)
     wanted = written(classes.join(counts, "tag64").where(F.col("n_shared") >= need).select("doc_id", "tag64"), "wanted")
     sets = written(_sets(docs, wanted).dropDuplicates(["tag64"]), "sets")
-    cells = written(components(_stars(sets, n_buckets), "cells").select(F.col("node").alias("tag64"), F.col("component").alias("cell")), "cells")
+    prefixes = written(_rare(sets, n_buckets), "prefixes")
+    cells = written(components(_stars(prefixes, n_buckets), "cells").select(F.col("node").alias("tag64"), F.col("component").alias("cell")), "cells")
     first = written(_pivot_links(sets, cells), "links")
     known = components(first, "known")
     links = written(_cell_links(sets, cells, known), "links")
