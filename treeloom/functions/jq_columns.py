@@ -1,7 +1,8 @@
 """Programs as DataFrame columns: what a program means over a column of known type, for Catalyst.
 
 `compile_column` gives a Column where built-in functions can say what the program says, and raises
-Unsupported elsewhere; `query` then runs the evaluator in tasks instead.
+Unsupported elsewhere; `query` then runs the evaluator in tasks instead. Where the evaluator would
+raise for a null (a string function's input, say), a column gives null.
 """
 
 from __future__ import annotations
