@@ -112,6 +112,6 @@ def mixed(docs: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame) -> DataFrame:
     """Each row of docs as often as the mix takes it, with the columns of docs."""
     plan = Plan(docs)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")).withColumn("_key", _key())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")).withColumn("_key", _key())
     out = plan.with_sources(rows, plan.seeds.select("_key", "rate", "seed")).select("_row", _copies().cast("int").alias("copies")).where("copies > 0")
     return out.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_row.*")

@@ -564,5 +564,5 @@ def _tag64(column: str) -> Column:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the least of their component, with all their columns."""
     stays = joined(docs).where("n_shingles = 0 or doc_id = component_id").select(F.coalesce("doc_id", F.lit(_NONE)).alias("_id")).distinct()
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("_id"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("_id"))
     return rows.join(stays, "_id", "left_semi").select("_row.*")

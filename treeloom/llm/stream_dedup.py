@@ -129,7 +129,7 @@ def marked(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     stays = groups(docs).where("row = keep_row").select(F.coalesce("doc_id", F.lit(_NONE)).alias("_id"), F.col("digest").alias("_digest"), F.col("group_size").alias("_n"))
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("_id"), sha256(normalised(F.col("text"))).alias("_digest"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("_id"), sha256(normalised(F.col("text"))).alias("_digest"))
     out = rows.join(stays, ["_id", "_digest"])
     # Rows that repeat a doc_id with its text: one of them stays. The join has dealt rows by these keys already.
     return out.groupBy("_id", "_digest").agg(F.first("_row").alias("_row")).select("_row.*")
