@@ -37,7 +37,7 @@ VOCABULARY = CLASSES * CLASSES
 OWN = VOCABULARY - CLASSES
 BORDER = VOCABULARY
 TRAIN_EVERY = 8
-RATE, BATCH = 0.5, 4096
+RATE, BATCH = 0.5, 1024
 SALTS, CHUNKS = 32, 8
 SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "scale": (len(PLACES), WIDTH), "bias": (WIDTH,), "class": (WIDTH, CLASSES), "class_bias": (CLASSES,), "word": (CLASSES, WIDTH, CLASSES), "word_bias": (CLASSES, CLASSES)}
 NETWORK_BYTES = 4 * sum(int(np.prod(s)) for s in SHAPES.values())
