@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 
 from treeloom.functions import jq_columns, template
 from treeloom.functions.schema import Schema
-from treeloom.operators import frames
+from treeloom.operators import bulk, frames
 from treeloom.plans import lint, report
 from treeloom.plans.udtf import EventLint
 from treeloom.sources import registry
+from treeloom.sources.spans import json_spans
+from treeloom.streaming import lint_stream
 from treeloom.values import parse_json, to_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -664,3 +666,51 @@ def _lateral(spark: SparkSession, d: DataFrame) -> DataFrame:
 @_query("SELECT * FROM (VALUES " + ", ".join(f"('{r['id']}', '{r['id'].split('.')[0]}', '{r['severity']}', '{r['kind']}')" for r in lint.RULES) + ") AS v(id, namespace, severity, kind)")
 def rules_list(spark, sf_dir):
     return lint.catalogue(spark).select("id", "namespace", "severity", "kind")
+
+
+def _nation_files(spark, sf_dir, text) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit("n/"), F.col("n_nationkey").cast("string"), F.lit(".yaml")).alias("path"), text.cast("binary").alias("content"))
+
+
+@_query("SELECT n_nationkey::BIGINT AS k, CASE WHEN n_regionkey = 0 THEN 'failed' WHEN n_regionkey = 1 THEN 'unchanged' ELSE 'changed' END AS status, CASE WHEN n_regionkey > 0 THEN 'a: 1' || chr(10) || 'b: 2' || chr(10) END AS content FROM nation")
+def bulk_set(spark, sf_dir):
+    text = F.when(F.col("n_regionkey") == 0, F.lit("a: [")).when(F.col("n_regionkey") == 1, F.lit("a: 1\nb: 2\n")).otherwise(F.lit("a: 1\n"))
+    out = bulk.edit_files(_nation_files(spark, sf_dir, text), {"kind": "set", "pointer": "/b", "value": 2})
+    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("k"), "status", "content")
+
+
+@_query("SELECT n_nationkey::BIGINT AS k, n_regionkey < 3 AS ok FROM nation")
+def template_guard(spark, sf_dir):
+    text = F.when(F.col("n_regionkey") < 3, F.lit("a: 'x {{ .v }}'\nb: p{{ .q }}r\n")).otherwise(F.lit("a: {{ .v }}\n"))
+    out = bulk.edit_files(_nation_files(spark, sf_dir, text), {"kind": "set", "pointer": "/c", "value": 1})
+    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("k"), (F.col("status") == "changed").alias("ok"))
+
+
+@_query("SELECT n_nationkey::BIGINT AS k, 'n/' || n_nationkey || '.json' AS path, '{' || chr(10) || '  \"name\": \"' || n_name || '\"' || chr(10) || '}' || chr(10) AS content FROM nation")
+def convert_files(spark, sf_dir):
+    out = bulk.convert_files(_nation_files(spark, sf_dir, F.concat(F.lit("name: "), "n_name")), "json")
+    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("k"), "path", "content")
+
+
+@_query("SELECT n_nationkey::BIGINT AS k, unnest(['', '/id', '/name']) AS pointer, unnest([1, 2, 3]) AS line, unnest([0, 10, 22 + length(n_nationkey::VARCHAR)])::INT AS start FROM nation")
+def json_positions(spark, sf_dir):
+    text = F.concat(F.lit('{\n  "id": '), F.col("n_nationkey").cast("string"), F.lit(',\n  "name": "'), "n_name", F.lit('"\n}'))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, p, s[0], s[2]) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, s in json_spans(t).items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["k", "pointer", "line", "start"])
+
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), text.alias("t")).mapInArrow(run, "k long, pointer string, line int, start int")
+
+
+@_query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2".replace("time_bucket(INTERVAL '1 hour', ts)", "epoch(date_trunc('hour', ts))::BIGINT"))
+def stream_tumbling(spark, sf_dir):
+    """Beyond the reference; here over the whole table at once."""
+    return lint_stream.tumbling_counts(table(spark, sf_dir, "events")).withColumn("start", F.unix_timestamp("start"))
+
+
+@_query("SELECT user_id, floor(min(e))::BIGINT AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY e, event_id) AS s FROM (SELECT user_id, event_id, epoch(ts) AS e, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 1800 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+def stream_sessions(spark, sf_dir):
+    """Beyond the reference; here over the whole table at once."""
+    return lint_stream.sessions(table(spark, sf_dir, "events")).select("user_id", F.unix_timestamp("start").alias("start"), "n")
