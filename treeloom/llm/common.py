@@ -65,6 +65,21 @@ def gather_runs(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def holds_cache(name: str, clear: Callable[[], None]) -> None:
+    """Tell how to empty what the tasks of an operator keep in their worker process."""
+    _caches[name] = clear
+
+
+def only(name: str) -> None:
+    """A task of this operator begins: workers outlive tasks, so empty what other operators left there."""
+    for other, clear in _caches.items():
+        if other != name:
+            clear()
+
+
 class RunCache:
     """Number sequences of keys that recur, each learned once; bounded.
 

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import components, gather_runs, hot_counts, partitions, rows_of, salted_join, written
+from treeloom.llm.common import components, gather_runs, holds_cache, hot_counts, only, partitions, rows_of, salted_join, written
 
 WIDTH = 5
 PIVOTS, PIVOT_CELL = 64, 64
@@ -60,13 +60,14 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 600_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
 _words = _WordHashes()
+holds_cache("ngram_join", _words.clear)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -226,6 +227,7 @@ class Finder:
 
 def _signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram_join")
         for part in rows_of(batches):
             sets = [shingles(t) for t in part["text"]]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part["doc_id"], pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "tag": pa.array(map(tag_of, sets), pa.binary())})
@@ -267,6 +269,7 @@ def _shared_counts(rows: DataFrame, posts: Callable, n_buckets: int) -> DataFram
     """(tag64, n_shared): how many of a class's posted shingles another class posts too."""
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram_join")
         seen: dict[int, int] = {}
         tokens: list[np.ndarray] = []
         held = 0

@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm.common import RunCache, gather_runs, rows_of
+from treeloom.llm.common import RunCache, gather_runs, holds_cache, only, rows_of
 
 SPACE = "▁"
-MOST_STRETCHES = 800_000
-MOST_PAIRS = 400_000
+MOST_STRETCHES = 600_000
+MOST_PAIRS = 300_000
 
 
 class Codec:
@@ -191,11 +191,15 @@ def codec(model: str) -> Codec:
     return Codec(model)
 
 
+holds_cache("piece_codec", codec.cache_clear)
+
+
 def encode_decode(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs(doc_id, text); ids with begin and end."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("piece_codec")
         c = codec(model)
         for part in rows_of(batches):
             flat, counts = c.encode_batch(part["text"])
@@ -216,6 +220,7 @@ def encode_ids(docs: DataFrame, model: str) -> DataFrame:
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("piece_codec")
         c = codec(model)
         for batch in batches:
             step = max(1, int(batch.num_rows * (8 << 20) / max(batch.nbytes, 1)))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import partitions, rows_of, words_of, written
+from treeloom.llm.common import holds_cache, only, partitions, rows_of, words_of, written
 
 CLASSES, WIDTH = 32, 8
 PLACES = (-2, -1, 1, 2)
@@ -52,6 +52,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+holds_cache("pseudo_likelihood", _hashes.clear)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -154,6 +155,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
     n_buckets = max(64, partitions(docs.sparkSession))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pseudo_likelihood")
         held: list[np.ndarray] = []
         size = 0
 

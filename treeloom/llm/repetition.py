@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import rows_of, words_of
+from treeloom.llm.common import only, rows_of, words_of
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SYMBOLS = "#*$%&|<>"
@@ -161,6 +161,7 @@ def keep_clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("repetition")
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             kept = [measure(t.as_py(), limits)[6] for t in texts]

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import rows_of
+from treeloom.llm.common import holds_cache, only, rows_of
 
 BLOCK = 64
 MOST_KNOWN = 800_000
@@ -57,6 +57,9 @@ def counter(ranks_file: str, pattern: str) -> Counter:
     return Counter(ranks_file, pattern)
 
 
+holds_cache("token_counts", counter.cache_clear)
+
+
 class CountedText:
     def __init__(self, text: str, count: Counter) -> None:
         self.count, self.n_encoded = count, 0
@@ -223,6 +226,7 @@ def counted(docs: DataFrame, ranks_file: str, pattern: str, edits: int = 8) -> D
     schema = "doc_id long, n_tokens long, n_tokens_after long, n_chars_after long, n_encoded long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("token_counts")
         count = counter(ranks_file, pattern)
         for part in rows_of(batches):
             rows = []

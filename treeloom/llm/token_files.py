@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import RunCache, gather_runs, local_path, partitions, rows_of, shared_folder
+from treeloom.llm.common import RunCache, gather_runs, holds_cache, local_path, only, partitions, rows_of, shared_folder
 
 MOST_WORDS = 800_000
 NULL_ID = -(1 << 63)
@@ -173,6 +173,9 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+holds_cache("token_files", encoder.cache_clear)
+
+
 class _Folder:
     """Files of a folder that is local or in a store that pyarrow reaches."""
 
@@ -215,6 +218,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, folde
     kind = np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("token_files")
         context = TaskContext.get()
         part, attempt = context.partitionId(), str(context.taskAttemptId())
         words, target = encoder(tokenizer), _Folder(folder)
