@@ -240,7 +240,7 @@ def _short(tag: bytes) -> int:
 
 
 def _buckets(low: np.ndarray, n: int) -> np.ndarray:
-    return (low & np.uint64(0xFFF)).astype(np.int64) % n if n <= 4096 else ((low & np.uint64(0xFFFFFF)) % np.uint64(n)).astype(np.int64)
+    return ((low & np.uint64(0xFFFFFF)) % np.uint64(n)).astype(np.int64)
 
 
 def _blobs(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
