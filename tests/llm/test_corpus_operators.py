@@ -233,7 +233,7 @@ def test_wrappers(spark):
 
 @pytest.mark.parametrize(("page", "text"), [
     ('<html><body><div id="header"><h1>Site</h1></div><div class="menu"><a href=x>a</a></div><div class="content"><h2>Title &amp; x</h2><p>One <b>two</b>&nbsp;three<p>four<ul><li>x<li>y</ul><form><label>Name</label></form><div class="cookie-notice">c</div><section id=comments><p>hi</p></section><aside>s</aside></div><script>if(a<b)</script><footer>f', "Title & x\n\nOne two three\n\nfour\n\nx\n\ny"),
-    ('<article><header><h1>T</h1></header><p>a < b & c &lt;p&gt;</p>tail<div class="article-comments">no</div></article>', "T\n\na < b & c <p>\n\ntail"), ("", ""), ("plain", "plain"), ("<main><p>x<!-- <p>y -->z<p hidden>h</main>", "xz"), ("<p>a<br>b", "a b"),
+    ('<article><header><h1>T</h1></header><p>a < b & c &lt;p&gt;</p>tail<div class="article-comments">no</div></article>', "T\n\na < b & c <p>\n\ntail"), ("", ""), ("plain", "plain"), ("<main><p>x<!-- <p>y -->z<p hidden>h</main>", "xz"), ("<p>a<br>b", "a b"), ('<body><ul><li><a href=x>m</a><li><a href=y>n</a></ul><div><p>see <a href=z>this</a> text here, long enough</p></div>', "see this text here, long enough"),
 ])
 def test_pages(page, text):
     assert html_wrappers.extract(page, html_wrappers.content_paths(html_wrappers.page_wrapper(page))) == text

@@ -70,6 +70,10 @@ def _key(name: str, attributes: str) -> str:
     return name + (f"@{role}" if role else "") + (f".{'.'.join(sorted(marks))}" if marks else "") + ("!" if hidden else "")
 
 
+def _element(key: str) -> str:
+    return key.rstrip("!").partition(".")[0].partition("@")[0]
+
+
 @lru_cache(65536)
 def _part(key: str) -> tuple[bool, bool, bool]:
     """(dropped anywhere, dropped unless inside the main part, begins the main part)."""
@@ -255,7 +259,8 @@ def content_paths(wrapper: list) -> frozenset[tuple[str, ...]]:
                 walk(node[2], path + (node[1],))
 
     walk(wrapper, ())
-    main, loose = set(), set()
+    main: set[tuple[str, ...]] = set()
+    loose: dict[tuple[str, ...], list[tuple[tuple[str, ...], list[list]]]] = {}
     for path, texts in slots.items():
         inside = dropped = False
         for key in path:
@@ -268,12 +273,16 @@ def content_paths(wrapper: list) -> frozenset[tuple[str, ...]]:
             continue
         if inside:
             main.add(path)
-        else:
-            pages, chars, links = (sum(t[k] for t in texts) for k in (1, 2, 3))
-            fixed = pages >= 8 and all(t[4] is not None for t in texts)
-            if not fixed and links * 2 <= chars:
-                loose.add(path)
-    return frozenset(main or loose)
+        else:  # inline elements count with the block that holds them
+            depth = next((n for n in range(len(path), 0, -1) if _element(path[n - 1]) in _BLOCKS), 0)
+            loose.setdefault(path[:depth], []).append((path, texts))
+    kept: set[tuple[str, ...]] = set()
+    for group in loose.values():
+        texts = [t for _, own in group for t in own]
+        pages, chars, links = (sum(t[k] for t in texts) for k in (1, 2, 3))
+        if not (pages >= 8 and all(t[4] is not None for t in texts)) and links * 2 <= chars:
+            kept |= {path for path, _ in group}
+    return frozenset(main or kept)
 
 
 def extract(page: str | None, paths: frozenset[tuple[str, ...]]) -> str:
