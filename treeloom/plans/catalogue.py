@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from treeloom.functions import jq_columns, template
 from treeloom.functions.schema import Schema
 from treeloom.operators import bulk, frames
-from treeloom.plans import lint, report
+from treeloom.plans import lint, report, rule_queries
+from treeloom.plans.cases import CASES
 from treeloom.plans.udtf import EventLint
 from treeloom.sources import registry
 from treeloom.sources.spans import json_spans
@@ -714,3 +715,27 @@ def stream_tumbling(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     """Beyond the reference; here over the whole table at once."""
     return lint_stream.sessions(table(spark, sf_dir, "events")).select("user_id", F.unix_timestamp("start").alias("start"), "n")
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    quoted = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + f") AS v({columns})"
+
+
+@_query(_values([(n, to_json(outputs)) for n, (_, _, outputs) in enumerate(CASES)], "n, outputs"))
+def jq_cases(spark, sf_dir):
+    """The case table through the evaluator, one program a row."""
+    rows = spark.createDataFrame([(n, p, v) for n, (p, v, _) in enumerate(CASES)], "n int, program string, value string")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from treeloom.functions.jq import compile_program
+
+        for batch in batches:
+            out = [to_json([to_json(x, finite=False) for x in compile_program(p).run(parse_json(v))]) for p, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["n", "outputs"])
+
+    return rows.mapInArrow(run, "n int, outputs string")
+
+
+QUERIES |= rule_queries.QUERIES
+ORACLES |= rule_queries.ORACLES
