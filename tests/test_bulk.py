@@ -24,6 +24,12 @@ def test_edit_text():
         e("FROM a\n", "dockerfile", kind="fmt")
 
 
+def test_splices_keep_comments():
+    e = lambda text, form, pointer, value: bulk.edit_text(text, form, {"kind": "set", "pointer": pointer, "value": value})
+    assert e("# head\na:   1 # one\nb: [x,  'y']  # two\n", "yaml", "/a", "on") == "# head\na:   'on' # one\nb: [x,  'y']  # two\n" and e("b: [x,  'y'] # c\n", "yaml", "/b/1", 5) == "b: [x,  5] # c\n"
+    assert e('{"a" : [1,\n 2], "b":3}', "json", "/a/1", {"c": None}) == '{"a" : [1,\n {"c":null}], "b":3}' and e("a: |\n  x\nb: 1\n", "yaml", "/a", "z") == "a: z\nb: 1\n"
+
+
 def test_guard():
     assert guarded("a: 'x {{ .v }}'\nb: p${{ q }}r\n", "yaml") == [{"a": "x {{ .v }}", "b": "p${{ q }}r"}] and guarded("a: 1", "yaml") == [{"a": 1}]
     for bad in ("a: {{ .v }}\n", "{{ if x }}\na: 1\n{{ end }}\n"):

@@ -15,7 +15,8 @@ from treeloom.plans import lint, report
 from treeloom.sources import registry
 from treeloom.sources import text_formats as T
 from treeloom.sources.guard import guarded
-from treeloom.values import DocumentError, sorted_keys
+from treeloom.sources.spans import spans_of
+from treeloom.values import DocumentError, same_data, sorted_keys, to_json
 
 RESULTS = "path string, status string, content string, diff string, error string"
 
@@ -47,6 +48,22 @@ def _edited(value: object, edit: dict, form: str, path: str) -> object:
     raise DocumentError("usage", f"unknown edit {kind}")
 
 
+def spliced(text: str, form: str, edit: dict) -> str | None:
+    """A value that is there replaced where it stands, so that comments and layout stay; None where that doesn't read back as it should."""
+    if edit["kind"] != "set" or form not in ("json", "yaml") or str(edit.get("doc", "0")) != "0" or "to" in edit or "{{" in text:
+        return None
+    try:
+        span = (spans_of(text, form) or [{}])[0].get(P.render(P.parse(edit["pointer"])))
+        expected = registry.documents_of(text, form)
+        if span is None or isinstance(edit["value"], (dict, list)) and form == "yaml":
+            return None
+        new = text[: span[2]] + (to_json(edit["value"]) if form == "json" else T.flow_yaml(edit["value"])) + text[span[3] :]
+        expected[0] = P.set_value(expected[0], edit["pointer"], edit["value"])
+        return new if all(map(same_data, registry.documents_of(new, form), expected)) and len(registry.documents_of(new, form)) == len(expected) else None
+    except DocumentError:
+        return None
+
+
 def edit_text(text: str, form: str, edit: dict, path: str = "") -> str:
     """A file's new text. `doc` picks a document of a stream: a number (0 is the default) or all; fmt and fix take all.
 
@@ -55,6 +72,8 @@ def edit_text(text: str, form: str, edit: dict, path: str = "") -> str:
     if form == "frontmatter":
         kind, value, body, _ = T.split_frontmatter(text)
         return T.write_frontmatter(_edited(value, edit, form, path), kind, body)
+    if (new := spliced(text, form, edit)) is not None:
+        return new
     documents = guarded(text, form)
     which = str(edit.get("doc", "all" if edit["kind"] in ("fmt", "fix") else "0"))
     if edit["kind"].startswith("doc-"):
