@@ -32,11 +32,18 @@ def local_path(uri: str) -> str | None:
     return parts.path if parts.scheme in ("", "file") else None
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """Let the driver's JVM delete what is at path when it ends; until then results may still be read from it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
+    temporary(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

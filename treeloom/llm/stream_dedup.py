@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import SPACES, hot_counts, salted_join, shared_folder, written
+from treeloom.llm.common import SPACES, hot_counts, salted_join, shared_folder, temporary, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _KEYS = "row long, doc_id long, digest string, locator string"
@@ -83,6 +83,7 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
     spark = docs.sparkSession
     base = shared_folder(spark, "dedup")
     keys(docs, digest).write.parquet(f"{base}/keys")
+    temporary(spark, base)
     session = spark.newSession()
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         if (value := spark.conf.get(name, None)) is not None:
