@@ -105,3 +105,7 @@ CASES += [
     ("sort", '[{"a":1},[1],"x",2,true,false,null]', ['[null,false,true,2,"x",[1],{"a":1}]']), ("nan < 1, nan == nan", "null", ["true", "false"]), ("0.1 + 0.2 == 0.3", "null", ["false"]), ("9007199254740993", "null", ["9007199254740993"]), ("try error catch .", '"x"', ['"x"']), ("isvalid", "1", ["true"]), ("{(.a, .b): 1}", '{"a":"x","b":"y"}', ['{"x":1}', '{"y":1}']),
     ("ltrimstr(1)", '"a"', ['"a"']), ('test("A"; "i")', '"xa"', ["true"]), ("[limit(0; 1, 2)]", "null", ["[]"]), ("tojson | fromjson", '{"a":[1.50]}', ['{"a":[1.5]}']), (". as [$a, [$b]] | $b", "[1,[2]]", ["2"]), ("[.[] | select(type == \"number\")]", '[1,"a"]', ["[1]"]), ('reduce empty as $x (0; 1)', "null", ["0"]), ("[paths(type == \"number\")]", '{"a":[1,"b"]}', ['[["a",0]]']),
 ]
+CASES += [
+    ("[.[-1.5], .[-0.5], .[nan]]", "[1,2]", ["[2,1,null]"]), ("[has(-1), has(-0.5), has(1.5), has(nan)]", "[1]", ["[false,true,false,false]"]), ("has(1)", "null", ["false"]), ("[.[0, 1][0, 1]]", "[[5,6],[7,8]]", ["[5,7,6,8]"]),
+    (".q[2] = 7", "{}", ['{"q":[null,null,7]}']), (".q.r = .q", "{}", ['{"q":{"r":null}}']), ("del(.[0], .[2])", "[4,5,6]", ["[5]"]), ("del(.[-7])", "[4]", ["[4]"]), ("delpaths([[]])", "3", ["null"]), ("pick(.[2])", "null", ["[null,null,null]"]), ("del(.[] | select(. > 4))", "[3,5,6,2]", ["[3,2]"]),
+]

@@ -329,10 +329,12 @@ def catalogue(spark) -> DataFrame:
 
 
 def match_fixtures(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(rule_id, message, side): expected violations that are missing, and unexpected ones, by multiplicity."""
-    from pyspark.sql import Window
+    """(rule_id, message, side): expected violations that are missing, and unexpected ones, as often as they are.
 
-    number = F.row_number().over(Window.partitionBy("rule_id", "message").orderBy("rule_id"))
-    a, b = (x.select("rule_id", "message").withColumn("n", number) for x in (expected, actual))
-    keys = ["rule_id", "message", "n"]
-    return a.join(b, keys, "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("unexpected"))).drop("n")
+    Both sides are counted before they meet, so a violation that fills a table is one row from each task.
+    """
+    keys = ["rule_id", "message"]
+    a, b = (x.groupBy(*keys).agg(F.count("*").alias(n)) for x, n in ((expected, "wanted"), (actual, "found")))
+    off = F.coalesce("wanted", F.lit(0)) - F.coalesce("found", F.lit(0))
+    both = a.join(b, keys, "full_outer").select(*keys, off.alias("off")).where("off <> 0")
+    return both.select(*keys, F.when(F.col("off") > 0, "missing").otherwise("unexpected").alias("side"), F.explode(F.sequence(F.lit(1), F.abs("off")))).select(*keys, "side")
