@@ -120,3 +120,13 @@ def test_lint_plan(spark):
     rows = lint.lint(read_documents(files)).collect()
     assert {(r.path, r.rule_id) for r in rows} == {("d/Dockerfile", "dockerfile.has-healthcheck"), ("d/Dockerfile", "dockerfile.no-latest-base-image"), ("x.json", "lint.parse"), ("y.bin", "lint.parse"), (None, "lint.parse")}
     assert {r.severity: r.n for r in lint.summary(lint.lint(read_documents(files.limit(0)))).collect()} == {"error": 0, "warn": 0, "info": 0}
+
+
+def test_rule_files_and_explanations():
+    again = lint.read_rules(lint.rule_file(S))
+    assert [(r.id, r.severity, r.formats, r.kind, r.message) for r in again] == [(r.id, r.severity, r.formats, r.kind, r.message) for r in S]
+    pod = documents_of(POD.replace("image: a:1", "image: a"), "yaml")[0]
+    assert [d["rule_id"] for d in lint.lint_value(pod, "yaml", "x", again)[0]] == ["k8s.no-latest-tag"]
+    assert lint.explain("npm.has-license").startswith("npm.has-license [warn] [fix]\n")
+    with pytest.raises(DocumentError):
+        lint.explain("no.rule")

@@ -21,7 +21,7 @@ from treeloom.functions.template import render
 from treeloom.plans.rules import PRELUDE, RULES
 from treeloom.pointer import apply_patch, get, read_patch
 from treeloom.sources.registry import documents_of
-from treeloom.sources.text_formats import read_yaml_stream
+from treeloom.sources.text_formats import read_yaml_stream, write_yaml
 from treeloom.values import DocumentError, equal, parse_json, to_json
 
 SEVERITIES = ("error", "warn", "info")
@@ -173,6 +173,24 @@ def _spec(raw: dict) -> dict:
     return {**spec, "kind": "schema", "check": body if kinds[0] == "schema" else {"schema_file": body}}
 
 
+def rule_file(rules: Iterable[Rule]) -> str:
+    """Rules as a YAML file that `read_rules` reads again, to be changed locally."""
+    out = []
+    for r in rules:
+        s = r.spec
+        some = lambda **parts: {k: v for k, v in parts.items() if v}
+        check = {"jq": s["check"]} if r.kind == "jq" else {"composite": some(**s["check"])} if r.kind == "composite" else s["check"] if "schema_file" in s["check"] else {"schema": s["check"]}
+        out.append({"id": r.id, "severity": r.severity, "match": some(format=r.formats, filter=s.get("filter"), glob=s.get("glob")), "check": {**check, "message": r.message}} | some(loc=some(line=s.get("line"), pointer=s.get("pointer"), file=s.get("file")), fix=some(ops=s.get("fix_ops"), jq=s.get("fix_jq")), references=r.references))
+    return write_yaml(out)
+
+
+def explain(id_: str) -> str:
+    """What a standard rule checks."""
+    (r,) = resolve([id_], [])
+    fixable = " [fix]" if r.fix_jq or r.fix_ops else ""
+    return f"{r.id} [{r.severity}]{fixable}\n{r.message}\nformats: {', '.join(r.formats)}\n" + "".join(f"see {x}\n" for x in r.references)
+
+
 @lru_cache(1)
 def standard() -> tuple[Rule, ...]:
     return tuple(map(Rule, RULES))
