@@ -144,6 +144,11 @@ def _text(o: Out) -> Column:
     raise Unsupported("tostring of " + o.type.simpleString())
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), the value being computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _sort_key(o: Out) -> Column:
     return F.struct(o.column.isNotNull().alias("present"), o.column.alias("key"))
 
@@ -216,8 +221,8 @@ class Compiler:
                 if isinstance(x.type, T.MapType):
                     return Out(F.try_element_at(x.column, F.lit(t[2][1])), x.type.valueType)
             if isinstance(x.type, T.ArrayType) and _number(key.type):
-                i = F.floor(key.column).cast("int")
-                return Out(F.get(x.column, F.when(i < 0, F.size(x.column) + i).otherwise(i)), x.type.elementType)
+                i = F.when(key.column < 0, F.ceil(key.column)).otherwise(F.floor(key.column)).cast("int")
+                return Out(_let(x.column, lambda a: F.get(a, F.when(i < 0, F.size(a) + i).otherwise(i))), x.type.elementType)
             raise Unsupported("index")
 
         return self.each(self.run(t[1], v, env), get)
@@ -461,8 +466,7 @@ class Compiler:
 
     def call_last(self, v, args, env):
         items = self.run(args[0], v, env) if args else self.elements(v)
-        column = self.listed(items)
-        return Out(F.get(column, F.size(column) - 1), items.type)
+        return Out(_let(self.listed(items), lambda a: F.get(a, F.size(a) - 1)), items.type)
 
     def call_limit(self, v, args, env):
         n, found = self.argument(v, args, env), self.run(args[1], v, env)
@@ -492,21 +496,26 @@ class Compiler:
         return self._edge(self.call_sort(v, args, env), -1)
 
     def _edge(self, o, at):
-        return Out(F.get(o.column, F.lit(0) if at == 0 else F.size(o.column) - 1), o.type.elementType)
+        return Out(F.get(o.column, F.lit(0)) if at == 0 else _let(o.column, lambda a: F.get(a, F.size(a) - 1)), o.type.elementType)
 
     def call_unique(self, v, args, env):
         return self.call_sort(Out(F.array_distinct(v.column), v.type), [], env)
 
     def call_unique_by(self, v, args, env):
-        key = lambda x: self.argument(Out(x, v.type.elementType), args, env).column
         out = self.call_sort_by(v, args, env)
-        return Out(F.filter(out.column, lambda x, i: (i == 0) | ~key(x).eqNullSafe(key(F.get(out.column, i - 1)))), v.type)
+        return Out(_let(out.column, lambda a: self._heads(a, v, args, env)), v.type)
+
+    def _key(self, x, v, args, env):
+        return self.argument(Out(x, v.type.elementType), args, env).column
+
+    def _heads(self, a: Column, v, args, env) -> Column:
+        """Of a sorted array the first item of each key."""
+        return F.filter(a, lambda x, i: (i == 0) | ~self._key(x, v, args, env).eqNullSafe(self._key(F.get(a, i - 1), v, args, env)))
 
     def call_group_by(self, v, args, env):
-        key = lambda x: self.argument(Out(x, v.type.elementType), args, env).column
         out = self.call_sort_by(v, args, env)
-        heads = self.call_unique_by(v, args, env)
-        return Out(F.transform(heads.column, lambda h: F.filter(out.column, lambda x: key(x).eqNullSafe(key(h)))), T.ArrayType(v.type))
+        groups = lambda a: F.transform(self._heads(a, v, args, env), lambda h: _let(self._key(h, v, args, env), lambda k: F.filter(a, lambda x: self._key(x, v, args, env).eqNullSafe(k))))
+        return Out(_let(out.column, groups), T.ArrayType(v.type))
 
     def call_reverse(self, v, args, env):
         return Out(F.reverse(v.column), v.type)
