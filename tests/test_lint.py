@@ -130,3 +130,9 @@ def test_rule_files_and_explanations():
     assert lint.explain("npm.has-license").startswith("npm.has-license [warn] [fix]\n")
     with pytest.raises(DocumentError):
         lint.explain("no.rule")
+
+
+def test_positions(spark):
+    files = spark.createDataFrame([("a.json", b'{"openapi": "3.1.0",\n "info": {"title": 5, "version": "1"},\n "paths": {}}'), ("b.yaml", b"a: 1\n---\nopenapi: 3.1.0\ninfo:\n  title: 5\n  version: x\npaths: {}\n")], "path string, content binary")
+    rows = lint.lint(read_documents(files, positions=True), lint.resolve(["jsonschema.openapi-3.1-shape"], [])).collect()
+    assert [(r.path, r.doc_idx, r.line, r.col) for r in rows] == [("a.json", 0, 2, 20), ("b.yaml", 1, 5, 10)]

@@ -310,7 +310,8 @@ def gate(rules: Iterable[Rule], path: Column, form: Column) -> Column:
 def lint(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """DIAGNOSTICS of documents (path, format, doc_idx, json, error ...), as `read_documents` gives them.
 
-    Documents that couldn't be read become lint.parse errors. Nothing is shuffled; the rows carry the
+    Documents that couldn't be read become lint.parse errors. With a column spans, findings with a
+    pointer get its line and column. Nothing is shuffled; the rows carry the
     numbers that put them in order: path, document, rule, violation.
     """
     rules = list(standard() if rules is None else rules)
@@ -321,17 +322,18 @@ def lint(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())]
         for batch in batches:
             rows = []
-            for path, form, idx, text, line, col, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, form, idx, text, line, col, error, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text is None:
                     rows.append((path, idx, -1, 0, "lint.parse", "error", error, line or 1, col or 1, []))
                     continue
-                value = parse_json(text)
+                value, where = parse_json(text), parse_json(spans) if spans else None
                 for n, rule in enumerate(rules):
-                    found, _ = lint_value(value, form, path or "", [rule])
+                    found, _ = lint_value(value, form, path or "", [rule], where)
                     rows += [(d["path"], idx, n, k, d["rule_id"], d["severity"], d["message"], d["line"], d["col"], d["references"]) for k, d in enumerate(found)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
 
-    return wanted.select("path", "format", "doc_idx", "json", "error_line", "error_col", "error").mapInArrow(run, DIAGNOSTICS)
+    spans = F.col("spans") if "spans" in documents.columns else F.lit(None).cast("string").alias("spans")
+    return wanted.select("path", "format", "doc_idx", "json", "error_line", "error_col", "error", spans).mapInArrow(run, DIAGNOSTICS)
 
 
 def summary(diagnostics: DataFrame) -> DataFrame:

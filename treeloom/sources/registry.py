@@ -110,16 +110,18 @@ def format_text(text: str, form: str, sort: bool = False, indent: int = 2) -> st
 DOCUMENTS = "path string, format string, doc_idx int, json string, error_line int, error_col int, error string"
 
 
-def read_documents(files: DataFrame, form: str | None = None) -> DataFrame:
+def read_documents(files: DataFrame, form: str | None = None, positions: bool = False) -> DataFrame:
     """Rows of DOCUMENTS from files(path, content): one for each document, or one with an error.
 
-    content is text or bytes; UTF-16 is told by its mark. form overrides detection. Files are read
-    in tasks, one by one; nothing is shuffled.
+    content is text or bytes; UTF-16 is told by its mark. form overrides detection. positions adds
+    `spans`, for JSON and YAML: a JSON map from pointer to [line, column]. Files are read in tasks,
+    one by one; nothing is shuffled.
     """
+    from treeloom.sources.spans import spans_of
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in DOCUMENTS.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+        names = [c.split()[0] for c in schema.split(", ")]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -129,14 +131,18 @@ def read_documents(files: DataFrame, form: str | None = None) -> DataFrame:
                         raise DocumentError("usage", "unknown format")
                     data = content or b""
                     text = data if own == "xml" else data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8")
-                    rows += [(path, own, i, to_json(d, finite=False), None, None, None) for i, d in enumerate(documents_of(text, own))]
+                    documents = documents_of(text, own)
+                    found = (spans_of(text, own) if positions else None) or [None] * len(documents)
+                    rows += [(path, own, i, to_json(d, finite=False), None, None, None, to_json({p: list(x[:2]) for p, x in where.items()}) if where else None) for i, (d, where) in enumerate(zip(documents, found, strict=True))]
                 except DocumentError as error:
-                    rows.append((path, own, 0, None, error.line, error.col, error.message))
+                    rows.append((path, own, 0, None, error.line, error.col, error.message, None))
                 except UnicodeDecodeError as error:
-                    rows.append((path, own, 0, None, None, None, f"not UTF-8: {error.reason}"))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
+                    rows.append((path, own, 0, None, None, None, f"not UTF-8: {error.reason}", None))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: len(names)], names=names)
 
-    return files.select(F.col(files.columns[0]).cast("string"), F.col(files.columns[1]).cast("binary")).mapInArrow(run, DOCUMENTS)
+    schema = DOCUMENTS + ", spans string" * positions
+    return files.select(F.col(files.columns[0]).cast("string"), F.col(files.columns[1]).cast("binary")).mapInArrow(run, schema)
 
 
 def read_files(spark: SparkSession, paths: str | list[str], form: str | None = None) -> DataFrame:
