@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from treeloom.functions import jq_columns, template
 from treeloom.functions.schema import Schema
@@ -657,10 +656,6 @@ def fixture_match(spark, sf_dir):
 def plugin_udtf(spark, sf_dir):
     spark.udtf.register("event_lint", EventLint)
     d = table(spark, sf_dir, "events").select("event_id", "props")
-    return _lateral(spark, d)
-
-
-def _lateral(spark: SparkSession, d: DataFrame) -> DataFrame:
     return spark.sql("SELECT event_id, x.rule_id, x.severity, x.pointer FROM {d} AS d, LATERAL event_lint(d.props) AS x", d=d)
 
 

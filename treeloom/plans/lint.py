@@ -11,7 +11,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from treeloom.functions import jq
 from treeloom.functions.schema import Schema
 from treeloom.functions.template import render
 from treeloom.plans.rules import PRELUDE, RULES
-from treeloom.pointer import apply_patch, get, read_patch
+from treeloom.pointer import apply_patch, read_patch
 from treeloom.sources.registry import documents_of
 from treeloom.sources.text_formats import read_yaml_stream, write_yaml
 from treeloom.values import DocumentError, equal, parse_json, to_json
