@@ -12,7 +12,7 @@ from treeloom.values import DocumentError
 
 def test_edit_text():
     e = lambda text, form, **edit: bulk.edit_text(text, form, edit)
-    assert e("a: 1\n", "yaml", kind="set", pointer="/b/c", value=[1]) == "a: 1\nb:\n  c:\n    - 1\n"
+    assert e("a: 1\n", "yaml", kind="set", pointer="/b/c", value=[1]) == "a: 1\nb:\n  c:\n  - 1\n"
     assert e("a: 1\n---\nb: 2\n", "yaml", kind="set", pointer="/b", value=3, doc=1) == "a: 1\n---\nb: 3\n" and e("1\n---\n2\n", "yaml", kind="doc-remove", doc=0) == "2\n" and e("1\n", "yaml", kind="doc-insert", doc=1, value=5) == "1\n---\n5\n"
     assert e('{"a":[1,2]}', "json", kind="del", pointer="/a/0") == '{\n  "a": [\n    2\n  ]\n}\n' and e("x=1\n", "dotenv", kind="merge", patch={"x": None, "y": "a b"}) == 'y="a b"\n'
     assert e("---\na: 1\n---\nbody", "frontmatter", kind="jq", program=".a += 1") == "---\na: 2\n---\nbody" and e('{"name":"x"}', "json", kind="patch", ops=[{"op": "add", "path": "/b", "value": 1}]).endswith('"b": 1\n}\n')

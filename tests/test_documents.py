@@ -139,6 +139,11 @@ def test_yaml():
     assert registry.select_document(d, "1") == 2 and registry.select_document(d, "all") == d
 
 
+def test_yaml_style():
+    assert T.write_yaml({"on": [1e16, 1e-7, -1.5], "<<": {"a": [{"b": 1, "c": [[2]]}]}, "d": "2001-12-14", "e": [], "f": "1:20"}) == "'on':\n- 1.0e+16\n- 1.0e-7\n- -1.5\n<<:\n  a:\n  - b: 1\n    c:\n    - - 2\nd: '2001-12-14'\ne: []\nf: '1:20'\n"
+    assert to_json([1e16, 1e-7, 1e300]) == "[1e16,1e-7,1e300]"
+
+
 def test_small_formats():
     assert T.read_ini("a=1\n[s]\nb: 2\n;c\n") == {"": {"a": "1"}, "s": {"b": "2"}} and T.read_ini(T.write_ini({"s": {"b": "2"}, "t": {}})) == {"s": {"b": "2"}, "t": {}}
     e = {"A": "x\n y", "B": "q$", "C": "", "D": 'a"\\'}
@@ -205,4 +210,4 @@ def test_detect_and_convert():
             registry.convert("{}", "json", target)
     with pytest.raises(DocumentError):
         registry.convert("[1]", "json", "toml")
-    assert registry.format_text("b: 1\na: [1]\n---\n2\n", "yaml", sort=True) == "a:\n  - 1\nb: 1\n---\n2\n"
+    assert registry.format_text("b: 1\na: [1]\n---\n2\n", "yaml", sort=True) == "a:\n- 1\nb: 1\n---\n2\n"

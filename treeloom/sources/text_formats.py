@@ -125,6 +125,8 @@ _WORDS = frozenset("y n yes no on off true false null none nan inf".split())
 
 
 def _yaml_string(s: str) -> str:
+    if s == "<<":
+        return s
     if _PLAIN.match(s) and s.lower() not in _WORDS and not s.startswith(("---", "...", ".inf", ".nan")) and not re.fullmatch(_NUMBERS, s) and not re.match(r"\.[0-9]|[0-9]", s):
         return s
     if s.isprintable() and "'" not in s:
@@ -136,8 +138,8 @@ def _yaml_scalar(v: object) -> str:
     if isinstance(v, str):
         return _yaml_string(v)
     if isinstance(v, float) and math.isfinite(v):
-        text = number_text(v)
-        return text if "." in text.split("e")[0] else text.replace("e", ".0e")
+        mantissa, e, exponent = number_text(v).partition("e")
+        return mantissa + e + exponent if not e else f"{mantissa if '.' in mantissa else mantissa + '.0'}e{exponent if exponent[0] == '-' else '+' + exponent}"
     return number_text(v) if is_number(v) else to_json(v)
 
 
@@ -153,7 +155,7 @@ def _yaml_lines(v: object, pad: str) -> list[str]:
         for k, x in v.items():
             if isinstance(x, (dict, list)) and x:
                 out.append(f"{pad}{_yaml_string(k)}:")
-                out += _yaml_lines(x, pad + "  ")
+                out += _yaml_lines(x, pad if isinstance(x, list) else pad + "  ")  # sequences stand below their key
             elif isinstance(x, str) and "\n" in x and re.fullmatch(r"[^\x00-\x08\x0b-\x1f]*", x) and not x.startswith((" ", "\n")) and not x.endswith("\n\n"):
                 out.append(f"{pad}{_yaml_string(k)}: |{'' if x.endswith(chr(10)) else '-'}")
                 out += [f"{pad}  {line}" if line else "" for line in x.removesuffix("\n").split("\n")]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import sys
 from decimal import Decimal, InvalidOperation, localcontext
 from functools import total_ordering
@@ -170,7 +171,7 @@ def number_text(x: int | float | BigFloat) -> str:
         return ".nan"
     if math.isinf(x):
         return ".inf" if x > 0 else "-.inf"
-    return repr(x).replace("e+", "e")
+    return re.sub(r"e(-?)\+?0*(\d)", r"e\1\2", repr(x))
 
 
 # JSON
