@@ -35,6 +35,7 @@ def test_guard():
     for bad in ("a: {{ .v }}\n", "{{ if x }}\na: 1\n{{ end }}\n"):
         with pytest.raises(DocumentError, match="templated"):
             guarded(bad, "yaml")
+    assert guarded("a: '${{ a == ''b'' }}'\n", "yaml") == [{"a": "${{ a == 'b' }}"}] and guarded('{"a": "{{ f(\\"y\\") }}"}', "json") == [{"a": '{{ f("y") }}'}] and guarded("# {{ x }}\n\ntext `{{ y }}`\n", "markdown")
     assert guarded("a: {{ .v }}\n", "yaml", raw=True) == [{"a": "{{ .v }}"}]
 
 
