@@ -295,3 +295,33 @@ def test_language_model(spark):
     assert (out[900].n_words, out[900].log_likelihood, out[900].mean) == (0, 0.0, None) and out[902].n_words == 1 and pseudo_likelihood.scored(d.limit(0)).count() == 0
     net, ids = pseudo_likelihood.unpacked(network), pseudo_likelihood.numbered(pseudo_likelihood.word_hashes(held_out[0]), words)
     assert means[0] == pytest.approx(pseudo_likelihood.forward(net, pseudo_likelihood.contexts(ids), ids)[0].mean(), abs=1e-3)
+
+
+def test_rare_words_have_their_own_probability(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK", 500)
+    rng = random.Random(9)
+    frequent = [f"f{i}" for i in range(pseudo_likelihood.OWN)] * 9
+    rare = {f"r{i}": 1 + i % 5 for i in range(300)}
+    rng.shuffle(frequent)
+    texts = [" ".join(frequent[at : at + 100]) for at in range(0, len(frequent), 100)] + [w for w, n in rare.items() for _ in range(n)] + [None]
+    rows = [(None if i == 7 else i, t) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    words = pseudo_likelihood.frequent(d)
+    net = pseudo_likelihood.start()
+    out = pseudo_likelihood.scores(d, words, pseudo_likelihood.packed(net)).collect()
+    assert len(out) == len(texts) and sum(r.n_words for r in out) == len(frequent) + sum(rare.values()) and sum(r.doc_id is None for r in out) == 1
+    found = {r.doc_id: r.log_likelihood for r in out}
+    number = {w: int(pseudo_likelihood.numbered(pseudo_likelihood.word_hashes(w), words)[0]) for w in rare}
+    assert min(number.values()) >= pseudo_likelihood.OWN
+    together = Counter()
+    for w, n in rare.items():
+        together[number[w]] += n
+    of_word = {}
+    for i, t in rows:
+        if t in rare:
+            ids = np.array([number[t]])
+            of_number = pseudo_likelihood.forward(net, pseudo_likelihood.contexts(ids), ids)[0][0]
+            assert found[i] == pytest.approx(of_number + np.log(rare[t] / together[number[t]]), abs=2e-3)
+            of_word[t] = np.exp(found[i] - of_number)
+    for k, n in together.items():
+        assert sum(p for w, p in of_word.items() if number[w] == k) == pytest.approx(1, abs=0.02)

@@ -3,15 +3,18 @@
 Words get one of CLASSES * CLASSES numbers: the most frequent ones of the corpus, counted over all
 documents, their own by rank, all others by hash into the last class. A window network sees the
 two words on either side of a masked one: embeddings scaled by place are summed, pass a tanh, and
-predict the word by a softmax over classes times one within its class, in numpy.
+predict the word by a softmax over classes times one within its class, in numpy. A word that shares
+its number has, times that, its share of all occurrences of the number's words; the probabilities of
+all words of the corpus sum to 1. As context, words that share a number look alike.
 
 Training: each task walks its own documents once, at every TRAIN_EVERYth word of all of them, from
 the same start; the tasks' networks are averaged, weighted by the words they saw, chunk by chunk
-and over salts. So what is gathered grows with the corpus while the network's size stays. Scoring:
-a document's score is the sum over all its words of log p(word | both sides).
+and over salts. Scoring: a document's score is the sum over all its words of log p(word | both sides).
 
-Words travel to the counts as numpy blobs of 64-bit hashes by bucket. The network and vocabulary
-that each task gets have a fixed size (NETWORK_BYTES), whatever the corpus.
+Documents are cut into words once: written as blocks of places among a block's distinct 64-bit
+hashes. Counts of all words, which grow with the corpus, meet by bucket and return to the blocks;
+buckets grow in number with the words. The network and the frequent words that each task gets have
+a fixed size (NETWORK_BYTES), whatever the corpus.
 
 Edge cases: a null or empty text has no words, score 0 and mean null. The first and last words see
 a border mark. Very long texts are read whole, scored in slices. Repeated rows count each time, and
@@ -26,6 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +42,10 @@ OWN = VOCABULARY - CLASSES
 BORDER = VOCABULARY
 TRAIN_EVERY = 8
 RATE, BATCH = 0.5, 1024
+BLOCK, SLICE = 1 << 20, 1 << 13
 SALTS, CHUNKS = 32, 8
 SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "scale": (len(PLACES), WIDTH), "bias": (WIDTH,), "class": (WIDTH, CLASSES), "class_bias": (CLASSES,), "word": (CLASSES, WIDTH, CLASSES), "word_bias": (CLASSES, CLASSES)}
+_BLOCKS = "block long, n_own long, doc_ids binary, nulls binary, lengths binary, tokens binary, own binary"
 NETWORK_BYTES = 4 * sum(int(np.prod(s)) for s in SHAPES.values())
 
 
@@ -150,48 +156,115 @@ def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Hashes of the OWN most frequent words of all documents, most frequent first, ties by hash."""
-    n_buckets = max(64, partitions(docs.sparkSession))
+def encoded(docs: DataFrame) -> DataFrame:
+    """Blocks of about BLOCK words of docs(doc_id, text): each word's place among the block's distinct hashes."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("pseudo_likelihood")
         held: list[np.ndarray] = []
-        size = 0
+        ids: list[int | None] = []
+        size, block = 0, TaskContext.get().partitionId() << 33
 
-        def block() -> pa.RecordBatch:
-            own, n = np.unique(np.concatenate(held), return_counts=True)
-            bucket = (own % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            rows = [b for b in range(n_buckets) if edges[b] < edges[b + 1]]
-            cut = [order[edges[b] : edges[b + 1]] for b in rows]
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(rows, pa.int64()), "own": pa.array([own[c].astype("<u8").tobytes() for c in cut], pa.binary()), "n": pa.array([n[c].astype("<i8").tobytes() for c in cut], pa.binary())})
+        def rows() -> pa.RecordBatch:
+            own, tokens = np.unique(np.concatenate(held), return_inverse=True)
+            return pa.RecordBatch.from_pydict({
+                "block": pa.array([block], pa.int64()), "n_own": pa.array([len(own)], pa.int64()), "doc_ids": pa.array([np.array([x or 0 for x in ids], "<i8").tobytes()], pa.binary()), "nulls": pa.array([np.array([x is None for x in ids], bool).tobytes()], pa.binary()),
+                "lengths": pa.array([np.array([len(x) for x in held], "<i8").tobytes()], pa.binary()), "tokens": pa.array([tokens.reshape(-1).astype("<u4").tobytes()], pa.binary()), "own": pa.array([own.astype("<u8").tobytes()], pa.binary()),
+            })
 
         for part in rows_of(batches):
-            for text in part["text"]:
+            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
                 held.append(word_hashes(text))
+                ids.append(doc_id)
                 size += len(held[-1])
-                if size > 1 << 22:
-                    yield block()
-                    held, size = [], 0
-        if size:
-            yield block()
+                if size >= BLOCK or len(held) >= BLOCK:
+                    yield rows()
+                    held, ids, size, block = [], [], 0, block + 1
+        if held:
+            yield rows()
+
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return written(docs.mapInArrow(run, _BLOCKS), "blocks")
+
+
+def _by_bucket(own: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of hashes by bucket, where each bucket begins in it)."""
+    bucket = (own % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+
+
+def counted(blocks: DataFrame) -> tuple[np.ndarray, DataFrame, int]:
+    """Counts of all words over all blocks.
+
+    (hashes of the OWN most frequent words, most frequent first, ties by hash; for each block and
+    bucket the counts of its words; number of buckets)
+    """
+    n_own = blocks.agg(F.coalesce(F.sum("n_own"), F.lit(0))).first()[0]
+    n_buckets = int(max(64, partitions(blocks.sparkSession), n_own // 1_000_000))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows_of(batches):
+            for block, tokens, own in zip(part["block"], part["tokens"], part["own"], strict=True):
+                own = np.frombuffer(own, "<u8")
+                n = np.bincount(np.frombuffer(tokens, "<u4"), minlength=len(own))
+                order, edges = _by_bucket(own, n_buckets)
+                rows = [b for b in range(n_buckets) if edges[b] < edges[b + 1]]
+                cut = [order[edges[b] : edges[b + 1]] for b in rows]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows, pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "own": pa.array([own[c].tobytes() for c in cut], pa.binary()), "n": pa.array([n[c].astype("<i8").tobytes() for c in cut], pa.binary())})
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        own, at = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in rows["own"]]), return_inverse=True)
+        parts = [np.frombuffer(x, "<u8") for x in rows["own"]]
+        own, at = np.unique(np.concatenate(parts), return_inverse=True)
+        at = at.reshape(-1)
         n = np.bincount(at, np.concatenate([np.frombuffer(x, "<i8") for x in rows["n"]]), len(own)).astype(np.int64)
         top = np.lexsort((own, -n))[:OWN]
-        return pd.DataFrame({"word": own[top].astype("<u8").view("<i8"), "n": n[top]})
+        back = [n[x].astype("<i8").tobytes() for x in np.split(at, np.cumsum([len(x) for x in parts])[:-1])]
+        bucket = int(rows["bucket"].iloc[0])
+        top_words = pd.DataFrame({"bucket": bucket, "word": own[top].astype("<u8").view("<i8"), "n": n[top], "block": 0, "counts": None})
+        return pd.concat([top_words, pd.DataFrame({"bucket": bucket, "word": 0, "n": 0, "block": rows["block"].to_numpy(), "counts": back})])
+
+    words = blocks.select("block", "tokens", "own").mapInArrow(count, "bucket long, block long, own binary, n binary").groupBy("bucket").applyInPandas(meet, "bucket long, word long, n long, block long, counts binary")
+    words = written(words, "counts")
+    top = words.where("counts is null").orderBy(F.col("n").desc(), "word").select("word").limit(OWN).collect()
+    return np.array([r.word for r in top], "<i8").view("<u8"), words.where("counts is not null").select("block", "bucket", "counts"), n_buckets
 
-    words = docs.select("text").mapInArrow(count, "bucket long, own binary, n binary").groupBy("bucket").applyInPandas(meet, "word long, n long")
-    top = words.orderBy(F.col("n").desc(), F.col("word")).limit(OWN).collect()
-    return np.array([r.word for r in top], "<i8").view("<u8")
+
+def shared(blocks: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """For each number that words share how often they occur, all together."""
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(VOCABULARY, np.int64)
+        for part in rows_of(batches):
+            for tokens, own in zip(part["tokens"], part["own"], strict=True):
+                n += np.bincount(numbered(np.frombuffer(own, "<u8"), vocabulary)[np.frombuffer(tokens, "<u4")], minlength=VOCABULARY)
+        yield pa.RecordBatch.from_pydict({"number": pa.array(range(CLASSES), pa.int64()), "n": pa.array(n[OWN:], pa.int64())})
+
+    out = np.zeros(CLASSES, np.int64)
+    for r in blocks.select("tokens", "own").mapInArrow(add, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).collect():
+        out[r.number] = r.n
+    return out
+
+
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Hashes of the OWN most frequent words of all documents, most frequent first, ties by hash."""
+    return counted(encoded(docs))[0]
+
+
+def _bordered(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all words with two border marks around each text, where each word stands in it)."""
+    at = np.arange(len(ids)) + 2 * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+    padded = np.full(len(ids) + 2 * len(lengths) + 2, BORDER, np.int64)
+    padded[at] = ids
+    return padded, at
 
 
 def trained(docs: DataFrame, vocabulary: np.ndarray, seed: int = 0) -> np.ndarray:
     """The averaged network, packed."""
+    return _trained(encoded(docs), vocabulary, seed)
 
+
+def _trained(blocks: DataFrame, vocabulary: np.ndarray, seed: int) -> np.ndarray:
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = start(seed)
         memory = {name: np.full(shape, 1e-6, np.float32) for name, shape in SHAPES.items()}
@@ -199,12 +272,15 @@ def trained(docs: DataFrame, vocabulary: np.ndarray, seed: int = 0) -> np.ndarra
         targets: list[np.ndarray] = []
         waiting = total = 0
         for part in rows_of(batches):
-            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-                ids = numbered(word_hashes(text), vocabulary)
-                picked = slice((doc_id or 0) % TRAIN_EVERY, None, TRAIN_EVERY)
-                around.append(contexts(ids)[picked])
-                targets.append(ids[picked])
-                waiting += len(targets[-1])
+            for doc_ids, lengths, tokens, own in zip(part["doc_ids"], part["lengths"], part["tokens"], part["own"], strict=True):
+                lengths = np.frombuffer(lengths, "<i8")
+                ids = numbered(np.frombuffer(own, "<u8"), vocabulary)[np.frombuffer(tokens, "<u4")]
+                padded, at = _bordered(ids, lengths)
+                place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                at = at[place % TRAIN_EVERY == np.repeat(np.frombuffer(doc_ids, "<i8") % TRAIN_EVERY, lengths)]
+                around.append(padded[at[:, None] + PLACES])
+                targets.append(padded[at])
+                waiting += len(at)
                 if waiting >= BATCH:
                     a, t = np.concatenate(around), np.concatenate(targets)
                     for at in range(0, len(t) - BATCH + 1, BATCH):
@@ -226,30 +302,49 @@ def trained(docs: DataFrame, vocabulary: np.ndarray, seed: int = 0) -> np.ndarra
         return pd.DataFrame({"chunk": [int(rows["chunk"].iloc[0])], "salt": [0], "weight": [int(weight.sum())], "part": [flat.astype("<f4").tobytes()]})
 
     schema = "chunk long, salt long, weight long, part binary"
-    parts = docs.select("doc_id", "text").mapInArrow(train, schema)
+    parts = blocks.select("doc_ids", "lengths", "tokens", "own").mapInArrow(train, schema)
     found = written(parts.groupBy("chunk", "salt").applyInPandas(mean, schema), "networks").groupBy("chunk").applyInPandas(mean, schema).orderBy("chunk").collect()
     return np.frombuffer(b"".join(bytes(r.part) for r in found), "<f4") if found else packed(start(seed))
 
 
 def scores(docs: DataFrame, vocabulary: np.ndarray, network: np.ndarray) -> DataFrame:
-    """(doc_id, n_words, log_likelihood, mean) for each row of docs(doc_id, text)."""
+    """(doc_id, n_words, log_likelihood, mean) for each row of docs(doc_id, text).
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = unpacked(network)
-        for part in rows_of(batches, 2 << 20):
-            ids = [numbered(word_hashes(t), vocabulary) for t in part["text"]]
-            n = np.array([len(x) for x in ids], np.int64)
-            flat, around = np.concatenate(ids), np.concatenate([contexts(x) for x in ids])
-            log_p = np.concatenate([np.empty(0, np.float32), *(forward(net, around[at : at + 65536], flat[at : at + 65536])[0] for at in range(0, len(flat), 65536))]).astype(np.float64)
-            sums = np.diff(np.concatenate([[0.0], np.cumsum(log_p)])[np.concatenate([[0], np.cumsum(n)])])
-            sums = np.round(sums, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array(n), pa.array(sums), pa.array([s / k if k else None for s, k in zip(sums.tolist(), n.tolist(), strict=True)], pa.float64())], names=["doc_id", "n_words", "log_likelihood", "mean"])
+    Words that share a number are told apart by their counts in docs.
+    """
+    blocks = encoded(docs)
+    return _scores(blocks, vocabulary, network, *counted(blocks)[1:])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean double")
+
+def _scores(blocks: DataFrame, vocabulary: np.ndarray, network: np.ndarray, counts: DataFrame, n_buckets: int) -> DataFrame:
+    together = shared(blocks, vocabulary)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_likelihood", pa.float64()), ("mean", pa.float64())])
+
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        net = unpacked(network)
+        doc_ids, nulls, lengths, tokens, own = (np.frombuffer(block.column(c)[0].as_py(), k) for c, k in (("doc_ids", "<i8"), ("nulls", bool), ("lengths", "<i8"), ("tokens", "<u4"), ("own", "<u8")))
+        n = np.zeros(len(own), np.int64)
+        if len(own):
+            n[_by_bucket(own, n_buckets)[0]] = np.frombuffer(b"".join(known.sort_by("bucket").column("counts").to_pylist()), "<i8")
+        ids = numbered(own, vocabulary)
+        within = np.zeros(len(own))
+        rest = ids >= OWN
+        within[rest] = np.log(n[rest]) - np.log(together[ids[rest] - OWN])
+        padded, at = _bordered(ids[tokens], lengths)
+        log_p = within[tokens]
+        for k in range(0, len(at), SLICE):
+            here = at[k : k + SLICE]
+            log_p[k : k + SLICE] += forward(net, padded[here[:, None] + PLACES], padded[here])[0]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        sums = np.round(np.diff(np.concatenate([[0.0], np.cumsum(log_p)])[ends]), 3)
+        means = [s / k if k else None for s, k in zip(sums.tolist(), lengths.tolist(), strict=True)]
+        return pa.Table.from_arrays([pa.array(doc_ids, pa.int64(), mask=nulls), pa.array(lengths), pa.array(sums), pa.array(means, pa.float64())], schema=schema)
+
+    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, "doc_id long, n_words long, log_likelihood double, mean double")
 
 
 def scored(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Count, train and score the same documents."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    vocabulary = frequent(docs)
-    return scores(docs, vocabulary, trained(docs, vocabulary, seed))
+    blocks = encoded(docs)
+    vocabulary, *counts = counted(blocks)
+    return _scores(blocks, vocabulary, _trained(blocks, vocabulary, seed), *counts)
