@@ -325,3 +325,14 @@ def test_rare_words_have_their_own_probability(spark, monkeypatch):
             of_word[t] = np.exp(found[i] - of_number)
     for k, n in together.items():
         assert sum(p for w, p in of_word.items() if number[w] == k) == pytest.approx(1, abs=0.02)
+
+
+def test_every_word_is_trained_on(spark):
+    texts = ["a b c d e f g h i j k", "l", "", "m n o", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    words = pseudo_likelihood.frequent(d)
+    start = pseudo_likelihood.start()
+    ids = [pseudo_likelihood.numbered(pseudo_likelihood.word_hashes(t), words) for t in texts]
+    memory = {name: np.full(shape, 1e-6, np.float32) for name, shape in pseudo_likelihood.SHAPES.items()}
+    pseudo_likelihood.step(start, memory, np.concatenate([pseudo_likelihood.contexts(x) for x in ids if len(x)]), np.concatenate(ids))
+    assert pseudo_likelihood.trained(d, words) == pytest.approx(pseudo_likelihood.packed(start), abs=1e-5)

@@ -7,8 +7,8 @@ predict the word by a softmax over classes times one within its class, in numpy.
 its number has, times that, its share of all occurrences of the number's words; the probabilities of
 all words of the corpus sum to 1. As context, words that share a number look alike.
 
-Training: each task walks its own documents once, at every TRAIN_EVERYth word of all of them, from
-the same start; the tasks' networks are averaged, weighted by the words they saw, chunk by chunk
+Training: each task walks its own documents once, predicting every word of all of them, from the
+same start; the tasks' networks are averaged, weighted by the words they saw, chunk by chunk
 and over salts. Scoring: a document's score is the sum over all its words of log p(word | both sides).
 
 Documents are cut into words once: written as blocks of places among a block's distinct 64-bit
@@ -40,7 +40,6 @@ PLACES = (-2, -1, 1, 2)
 VOCABULARY = CLASSES * CLASSES
 OWN = VOCABULARY - CLASSES
 BORDER = VOCABULARY
-TRAIN_EVERY = 8
 RATE, BATCH = 0.5, 1024
 BLOCK, SLICE = 1 << 20, 1 << 13
 SALTS, CHUNKS = 32, 8
@@ -92,48 +91,59 @@ def contexts(ids: np.ndarray) -> np.ndarray:
     return np.stack([padded[2 + p : 2 + p + len(ids)] for p in PLACES], 1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
-
-
 def forward(net: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray) -> tuple:
-    """log p of each word, with what the backward pass needs; words in order of their class."""
-    seen = net["embed"][around]
-    hidden = np.tanh(np.einsum("npd,pd->nd", seen, net["scale"]) + net["bias"])
-    classes = ids // CLASSES
-    by_class = _log_softmax(hidden @ net["class"] + net["class_bias"])
-    within = np.empty((len(ids), CLASSES), np.float32)
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+    """log p of each word, with what the backward pass needs; that is in order of the numbers."""
+    order = np.argsort(ids.astype(np.int16), kind="stable")
+    ids = ids[order]
+    edges = np.searchsorted(ids, np.arange(0, VOCABULARY + 1, CLASSES))
+    placed = net["embed"] * net["scale"][:, None]
+    seen = placed[0][around[:, 0]]
+    for k in range(1, len(PLACES)):
+        seen += placed[k][around[:, k]]
+    hidden = np.tanh(seen[order] + net["bias"])
+    x = np.empty((2, len(ids), CLASSES), hidden.dtype)  # over classes, within the class
+    np.matmul(hidden, net["class"], out=x[0])
+    x[0] += net["class_bias"]
     for c in range(CLASSES):
-        at = order[edges[c] : edges[c + 1]]
-        if len(at):
-            within[at] = _log_softmax(hidden[at] @ net["word"][c] + net["word_bias"][c])
+        if edges[c] < edges[c + 1]:
+            np.matmul(hidden[edges[c] : edges[c + 1]], net["word"][c], out=x[1, edges[c] : edges[c + 1]])
+    x[1] += net["word_bias"][ids // CLASSES]
+    most = x.max(initial=0)
+    x -= most if most - x.min(initial=0) < 60 else x.max(-1, keepdims=True)
     n = np.arange(len(ids))
-    return by_class[n, classes] + within[n, ids % CLASSES], seen, hidden, by_class, within, order, edges
+    picked = x[0, n, ids // CLASSES] + x[1, n, ids % CLASSES]
+    np.exp(x, out=x)
+    sums = x.sum(-1, keepdims=True)
+    log_p = np.empty(len(ids), hidden.dtype)
+    log_p[order] = picked - np.log(sums).sum(0)[:, 0]
+    return log_p, hidden, x, sums, order, edges
 
 
 def gradients(net: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean log-likelihood."""
-    _, seen, hidden, by_class, within, order, edges = forward(net, around, ids)
+    _, hidden, x, sums, order, edges = forward(net, around, ids)
+    around, ids = around[order], ids[order]
     n = np.arange(len(ids))
-    up_class, up_word = -np.exp(by_class), -np.exp(within)
-    up_class[n, ids // CLASSES] += 1
-    up_word[n, ids % CLASSES] += 1
+    x /= -sums
+    x[0, n, ids // CLASSES] += 1
+    x[1, n, ids % CLASSES] += 1
     out = {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items()}
-    out["class"], out["class_bias"] = hidden.T @ up_class, up_class.sum(0)
-    up = up_class @ net["class"].T
+    out["class"], out["class_bias"] = hidden.T @ x[0], x[0].sum(0)
+    up, across, back = np.empty_like(hidden), hidden.T, net["word"].transpose(0, 2, 1)
     for c in range(CLASSES):
-        at = order[edges[c] : edges[c + 1]]
-        if len(at):
-            out["word"][c], out["word_bias"][c] = hidden[at].T @ up_word[at], up_word[at].sum(0)
-            up[at] += up_word[at] @ net["word"][c].T
+        if edges[c] < edges[c + 1]:
+            at = slice(edges[c], edges[c + 1])
+            here = x[1, at]
+            np.matmul(across[:, at], here, out=out["word"][c], casting="same_kind")
+            np.matmul(here, back[c], out=up[at])
+    there = np.flatnonzero(np.diff(edges))
+    out["word_bias"][there] = np.add.reduceat(x[1], edges[there])
+    up += x[0] @ net["class"].T
     up *= 1 - hidden * hidden
-    out["bias"], out["scale"] = up.sum(0), np.einsum("npd,nd->pd", seen, up)
-    to_embed = up[:, None, :] * net["scale"]
-    for d in range(WIDTH):
-        out["embed"][:, d] = np.bincount(around.ravel(), to_embed[:, :, d].ravel(), VOCABULARY + 1)
+    out["bias"] = up.sum(0)
+    at = ((around + np.arange(len(PLACES)) * (VOCABULARY + 1))[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
+    placed = np.bincount(at, np.repeat(up[:, None, :], len(PLACES), 1).ravel(), len(PLACES) * (VOCABULARY + 1) * WIDTH).reshape(len(PLACES), VOCABULARY + 1, WIDTH)
+    out["scale"], out["embed"] = np.einsum("pvd,vd->pd", placed, net["embed"]), np.einsum("pvd,pd->vd", placed, net["scale"]).astype(np.float32)
     return {name: g / len(ids) for name, g in out.items()}
 
 
@@ -272,14 +282,12 @@ def _trained(blocks: DataFrame, vocabulary: np.ndarray, seed: int) -> np.ndarray
         targets: list[np.ndarray] = []
         waiting = total = 0
         for part in rows_of(batches):
-            for doc_ids, lengths, tokens, own in zip(part["doc_ids"], part["lengths"], part["tokens"], part["own"], strict=True):
+            for lengths, tokens, own in zip(part["lengths"], part["tokens"], part["own"], strict=True):
                 lengths = np.frombuffer(lengths, "<i8")
                 ids = numbered(np.frombuffer(own, "<u8"), vocabulary)[np.frombuffer(tokens, "<u4")]
                 padded, at = _bordered(ids, lengths)
-                place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                at = at[place % TRAIN_EVERY == np.repeat(np.frombuffer(doc_ids, "<i8") % TRAIN_EVERY, lengths)]
                 around.append(padded[at[:, None] + PLACES])
-                targets.append(padded[at])
+                targets.append(ids)
                 waiting += len(at)
                 if waiting >= BATCH:
                     a, t = np.concatenate(around), np.concatenate(targets)
@@ -302,7 +310,7 @@ def _trained(blocks: DataFrame, vocabulary: np.ndarray, seed: int) -> np.ndarray
         return pd.DataFrame({"chunk": [int(rows["chunk"].iloc[0])], "salt": [0], "weight": [int(weight.sum())], "part": [flat.astype("<f4").tobytes()]})
 
     schema = "chunk long, salt long, weight long, part binary"
-    parts = blocks.select("doc_ids", "lengths", "tokens", "own").mapInArrow(train, schema)
+    parts = blocks.select("lengths", "tokens", "own").mapInArrow(train, schema)
     found = written(parts.groupBy("chunk", "salt").applyInPandas(mean, schema), "networks").groupBy("chunk").applyInPandas(mean, schema).orderBy("chunk").collect()
     return np.frombuffer(b"".join(bytes(r.part) for r in found), "<f4") if found else packed(start(seed))
 
