@@ -336,3 +336,11 @@ def test_every_word_is_trained_on(spark):
     memory = {name: np.full(shape, 1e-6, np.float32) for name, shape in pseudo_likelihood.SHAPES.items()}
     pseudo_likelihood.step(start, memory, np.concatenate([pseudo_likelihood.contexts(x) for x in ids if len(x)]), np.concatenate(ids))
     assert pseudo_likelihood.trained(d, words) == pytest.approx(pseudo_likelihood.packed(start), abs=1e-5)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_two_templates_on_a_host(spark, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(html_wrappers, "MOST_WRAPPERS", 0)
+    d = spark.createDataFrame([(1, "http://a.b/1", "<article><p>new</article><p>tail"), (2, "http://a.b/2", '<div class="post"><p>old one</div>'), (3, None, "<article>x</article>"), (4, None, "<p>q"), (5, "http://a.b/3", "<article></article><p>beside")], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_wrappers.extracted(d).collect()} == {1: "new", 2: "old one", 3: "x", 4: "q", 5: "beside"}

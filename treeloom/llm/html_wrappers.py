@@ -8,7 +8,7 @@ Each slot of a wrapper keeps sums over the pages: how often, how many characters
 in links, and its text while that is the same everywhere.
 
 The wrapper then decides, once for the host, which slots hold the main text: those below an
-article or main element, or, where the host has none, in the body where texts vary; never below
+article or main element, or, on pages without text there, in the body where texts vary; never below
 menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and the like.
 Extraction reads each page whole and keeps the texts at these slots.
 
@@ -247,8 +247,11 @@ def expression(nodes: list) -> str:
     return "".join(map(one, nodes))
 
 
-def content_paths(wrapper: list) -> frozenset[tuple[str, ...]]:
-    """Paths of the slots that hold main text."""
+Paths = tuple[frozenset[tuple[str, ...]], frozenset[tuple[str, ...]]]
+
+
+def content_paths(wrapper: list) -> Paths:
+    """Paths of the slots that hold main text: (below article or main, elsewhere, for pages without text in the first)."""
     slots: dict[tuple[str, ...], list[list]] = {}
 
     def walk(nodes: list, path: tuple[str, ...]) -> None:
@@ -282,10 +285,15 @@ def content_paths(wrapper: list) -> frozenset[tuple[str, ...]]:
         pages, chars, links = (sum(t[k] for t in texts) for k in (1, 2, 3))
         if not (pages >= 8 and all(t[4] is not None for t in texts)) and links * 2 <= chars:
             kept |= {path for path, _ in group}
-    return frozenset(main or kept)
+    return frozenset(main), frozenset(kept)
+
+
+def extract(page: str | None, paths: Paths) -> str:
+    main, kept = paths
+    return _text_at(page, main) or _text_at(page, kept)
 
 
-def extract(page: str | None, paths: frozenset[tuple[str, ...]]) -> str:
+def _text_at(page: str | None, paths: frozenset[tuple[str, ...]]) -> str:
     blocks: list[str] = []
     now: list[str] = []
     for path, kind, text in events(page or ""):
@@ -341,8 +349,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 @lru_cache(4096)
-def _paths(wrapper: str) -> frozenset[tuple[str, ...]]:
-    return frozenset(tuple(p) for p in json.loads(wrapper))
+def _paths(wrapper: str) -> Paths:
+    main, kept = json.loads(wrapper)
+    return frozenset(map(tuple, main)), frozenset(map(tuple, kept))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -351,7 +360,7 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [json.dumps(sorted(content_paths(json.loads(w)))) for w in batch.column("wrapper").to_pylist()]
+            paths = [json.dumps([sorted(p) for p in content_paths(json.loads(w))]) for w in batch.column("wrapper").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string()), batch.column("n")], names=["host", "paths", "n"])
 
     found = written(wrappers(pages).mapInArrow(decide, "host string, paths string, n long"), "wrappers")
@@ -361,7 +370,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     def run_with(known: dict[str, str] | None):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in rows_of(batches):
-                of = part["paths"] if known is None else [known.value.get(host_of(u), "[]") for u in part["url"]]
+                of = part["paths"] if known is None else [known.value.get(host_of(u), "[[], []]") for u in part["url"]]
                 texts = [extract(page, _paths(p)) for page, p in zip(part["html"], of, strict=True)]
                 yield pa.RecordBatch.from_pydict({"page_id": pa.array(part["page_id"], pa.int64()), "url": pa.array(part["url"], pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
