@@ -338,6 +338,15 @@ def test_every_word_is_trained_on(spark):
     assert pseudo_likelihood.trained(d, words) == pytest.approx(pseudo_likelihood.packed(start), abs=1e-5)
 
 
+def test_near_copies_without_ids_or_with_one_id(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, "lone one two three four five"), (None, "another six seven eight nine ten"), (7, text), (7, text + " 1"), (None, text.upper()), (8, None), (None, "  "), (None, "P Q R S T U"), (None, "p q r s t u")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), str(r.text).lower()) for r in ngram_join.without_near_duplicates(d).collect())
+    assert [k for k in kept if text not in k[1]] == sorted([("None", "lone one two three four five"), ("None", "another six seven eight nine ten"), ("8", "none"), ("None", "  "), ("None", "p q r s t u")])
+    assert [k[0] for k in kept if text in k[1]] == ["7"]
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_two_templates_on_a_host(spark, small, monkeypatch):
     if not small:

@@ -230,9 +230,13 @@ def _signatures(docs: DataFrame) -> DataFrame:
         only("ngram_join")
         for part in rows_of(batches):
             sets = [shingles(t) for t in part["text"]]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part["doc_id"], pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "tag": pa.array(map(tag_of, sets), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part["doc_id"], pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "tag": pa.array(map(tag_of, sets), pa.binary()), "text_key": pa.array(part["text_key"], pa.int64())})
 
-    return docs.mapInArrow(run, "doc_id long, n long, tag binary")
+    return docs.withColumn("text_key", _text_key("text")).mapInArrow(run, "doc_id long, n long, tag binary, text_key long")
+
+
+def _text_key(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
 def _short(tag: bytes) -> int:
@@ -528,10 +532,22 @@ def joined(docs: DataFrame) -> DataFrame:
     class_id is the least doc_id with the same set. A small packet's search runs in one task;
     none holds more than about two blocks of MOST_BLOCK bytes, or a single set beyond that.
     """
+    rows, named, least = _components_of(docs)
+    named = written(salted_join(named.select("component", "tag", "class_id", "n"), least.select("component", "component_id"), "component", written(hot_counts(least, "component"), "hot"), F.col("tag")), "named")
+    out = salted_join(rows.where("n > 0"), named.select("tag", "class_id", "component_id"), "tag", written(hot_counts(named, "tag"), "hot"), F.col("doc_id"))
+    empty = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    out = out.select("doc_id", "n", "component_id", "class_id").unionByName(empty)
+    real = lambda c: F.when(F.col(c) < _NONE, F.col(c)).alias(c)
+    return out.select(real("doc_id"), F.col("n").alias("n_shingles"), real("component_id"), real("class_id"))
+
+
+def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures of all rows, classes with their component, components with their first row); _NONE for null ids."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(_signatures(docs), "signatures")
-    classes = rows.where("n > 0").groupBy("tag").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n_shingles"), F.count("*").alias("n"))
+    first = F.min(F.struct("doc_id", "text_key"))
+    classes = rows.where("n > 0").groupBy("tag").agg(first["doc_id"].alias("doc_id"), first["text_key"].alias("text_key"), F.min("n").alias("n_shingles"), F.count("*").alias("n"))
     classes = written(classes.withColumn("tag64", _tag64("tag")), "classes")
     postings = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] * 0.4
     n_buckets = int(max(64, partitions(spark), postings // 1_000_000))
@@ -545,16 +561,11 @@ def joined(docs: DataFrame) -> DataFrame:
     known = components(first, "known")
     links = written(_cell_links(sets, cells, known), "links")
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "final")
-    named = classes.select(F.col("tag64").alias("node"), F.col("doc_id").alias("class_id"), "tag", "n").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.select(F.col("tag64").alias("node"), F.col("doc_id").alias("class_id"), "text_key", "tag", "n").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named, "named")
-    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count("*").alias("n"))
-    least = written(least, "least")
-    named = written(salted_join(named.select("component", "tag", "class_id", "n"), least.select("component", "component_id"), "component", written(hot_counts(least, "component"), "hot"), F.col("tag")), "named")
-    out = salted_join(rows.where("n > 0"), named.select("tag", "class_id", "component_id"), "tag", written(hot_counts(named, "tag"), "hot"), F.col("doc_id"))
-    empty = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    out = out.select("doc_id", "n", "component_id", "class_id").unionByName(empty)
-    real = lambda c: F.when(F.col(c) < _NONE, F.col(c)).alias(c)
-    return out.select(real("doc_id"), F.col("n").alias("n_shingles"), real("component_id"), real("class_id"))
+    first = F.min(F.struct("class_id", "text_key"))
+    least = named.groupBy("component").agg(first["class_id"].alias("component_id"), first["text_key"].alias("text_key"), F.count("*").alias("n"))
+    return rows, named, written(least, "least")
 
 
 def _tag64(column: str) -> Column:
@@ -565,7 +576,11 @@ def _tag64(column: str) -> Column:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component, with all their columns."""
-    stays = joined(docs).where("n_shingles = 0 or doc_id = component_id").select(F.coalesce("doc_id", F.lit(_NONE)).alias("_id")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("_id"))
-    return rows.join(stays, "_id", "left_semi").select("_row.*")
+    """Of each component the row with the least doc_id, nulls last, with all its columns.
+
+    Where several texts of a component have that doc_id, one of them stays; rows that repeat all stay.
+    """
+    rows, _, least = _components_of(docs)
+    stays = least.select(F.col("component_id").alias("_id"), F.col("text_key").alias("_key")).unionByName(rows.where("n = 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("_id"), _text_key("text").alias("_key"))
+    return rows.join(stays, ["_id", "_key"], "left_semi").select("_row.*")
