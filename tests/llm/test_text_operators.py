@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from treeloom.llm import piece_codec, repetition, token_counts, token_files
+from treeloom.llm import common, piece_codec, repetition, token_counts, token_files
 
 ODD = ["", " ", "\n\n", "a", "\x1c \x85\n\x85\n\x85", "a b\na b", "a " * 300, "x" * 5000, "  a  b\t", "▁x ▁y", "日本 \U0001f600 \x00", "It's <|endoftext|> A<|STARTOFTEXT|>b ΑΣ é", "don't'll 'S", "́", "a ́b", "c\xa0d　e", "word, word. a., (b),", None]
 
@@ -73,9 +73,13 @@ def test_word_ids_are_the_librarys(spark):
         assert e.by_word
         for t in ODD + texts(spark)[:60]:
             assert e.encode([t])[0].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
-    many = texts(spark)
+    many = [*ODD, "hello", "hello,", "a.b, c.", "<|ENDOFTEXT|>a, B.", *texts(spark)]
+    expected = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in many]
     ids, n = e.encode(many)
-    assert np.split(ids, np.cumsum(n)[:-1])[7].tolist() == e.tokenizer.encode(many[7], add_special_tokens=False).ids
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == expected
+    for order in (1, -1):  # one at a time, by an encoder that knows nothing yet
+        e = token_files.WordEncoder(WORDS)
+        assert all(e.encode([t])[0].tolist() == x for t, x in list(zip(many, expected, strict=True))[::order])
     assert not token_files.splits_at_spaces(public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -83,7 +87,7 @@ def test_word_ids_are_the_librarys(spark):
 def test_token_files(spark, vocabulary, tmp_path):
     import zlib
 
-    rows = [(5, "hello world"), (3, None), (9, ""), (3, "a"), (None, "b"), (-2, "c " * 5000)]
+    rows = [(5, "hello world"), (3, ""), (9, None), (None, "b"), (-2, "c " * 5000), (3, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit(1))
     folder = f"file://{tmp_path}/t"
     index = token_files.write_token_files(d, WORDS, 2, folder, vocabulary, n_parts=3)
@@ -119,15 +123,26 @@ def test_decoding_any_ids(codec):
         assert codec.decode(np.array(x, int)) == codec.library.decode(x)
 
 
-def test_small_caches_give_the_same(spark, codec):
-    known, codec.cache = codec.cache, piece_codec.RunCache(50)
+@pytest.mark.parametrize("most, most_bytes", [(50, 1 << 20), (1 << 20, 2000)])
+def test_small_caches_give_the_same(spark, codec, most, most_bytes):
+    known, codec.cache = codec.cache, common.RunCache(most, most_bytes)
     try:
         for t in texts(spark)[:40]:
             assert codec.encode(t) == [1, *codec.library.encode(t), 2]
+            codec.cache.places([], codec._learn)  # makes room
+            assert codec.cache.bytes <= most_bytes
     finally:
         codec.cache = known
 
 
+def test_a_task_of_another_operator_empties_caches():
+    token_files.encoder(WORDS).encode(["some words"])
+    common.only("token_files")
+    assert token_files.encoder.cache_info().currsize == 1
+    common.only("ngram_join")
+    assert token_files.encoder.cache_info().currsize == 0
+
+
 def test_piece_frames(spark, codec):
     import hashlib
 

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import WORD, hot_counts, salted_join, written
+from treeloom.llm.common import WORD, hot_counts, ranked, salted_join, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -41,22 +41,9 @@ def draw(doc_id: Column, seed: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def _ranked(sizes: DataFrame) -> DataFrame:
-    """sizes with `rank`, 0, 1, 2 ... in code-point order, null last, from prefix sums over range partitions."""
-    parts = written(sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("_id", F.monotonically_increasing_id()), "sources")
-    parts = parts.withColumn("_part", F.shiftright("_id", 33))
-    counts = {r[0]: r[1] for r in parts.groupBy("_part").count().collect()}
-    before, table = 0, []
-    for part in sorted(counts):
-        table.append((part, before))
-        before += counts[part]
-    bases = sizes.sparkSession.createDataFrame(table, "_part long, _base long")
-    return parts.join(F.broadcast(bases), "_part").withColumn("rank", F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_base", "_id")
-
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(source, source_size, n_docs) with weight and target."""
-    sizes = written(_ranked(sizes).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))), "targets")
+    sizes = written(ranked(sizes, [F.col("source").asc_nulls_last()], "rank").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))), "targets")
     goal = share * float(sizes.agg(F.sum("source_size")).first()[0] or 0)
     top = cap * F.col("source_size")
     level, known = None, -1

@@ -8,17 +8,17 @@ Layout of a folder, one set of files for each partition, partitions in ascending
 Bases are prefix sums over the partitions' counts, the only numbers that the driver gathers.
 
 Encoding: the tokenizer drops white space and never joins across it, so a text's ids are those of
-its words one after another. Each task keeps the ids of the words it has met (at most MOST_WORDS
-of them, then starts anew) and gives only new words to the library. That this equals encoding
-whole texts is checked for each tokenizer file when it is loaded (`splits_at_spaces`); for one
-that doesn't qualify, whole texts are encoded.
+its words one after another. Words are cut and numbered in Arrow's bytes; each worker keeps the ids
+of words it has met (of MOST_WORDS at most those used most) and gives only new words to the library.
+That this equals encoding whole texts is checked for each tokenizer file when it is loaded
+(`splits_at_spaces`); for one that doesn't qualify, whole texts are encoded.
 
 Files are written under a name of the attempt and renamed when whole, so a task that runs again
 after a lost executor writes the same bytes to the same place.
 
 Edge cases: a null or empty text is one end id. Null doc_ids come first, stored as the least long.
-Rows with equal doc_id stand in order of their texts. An empty table gives no files and no rows.
-Further columns are ignored.
+Rows with equal doc_id stand in order of a hash of their texts, so that they too are dealt over
+partitions. An empty table gives no files and no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import RunCache, gather_runs, holds_cache, local_path, only, partitions, rows_of, shared_folder
+from treeloom.llm.common import BLANK, LOWER, RunCache, gather_runs, holds_cache, local_path, only, partitions, shared_folder, slices, split_words, text_bytes
 
 MOST_WORDS = 800_000
 NULL_ID = -(1 << 63)
@@ -73,51 +73,13 @@ class WordEncoder:
         #: A special token, which the library cuts out before anything else, to separate words in one call.
         self.mark = next(((t["content"], t["id"]) for t in json.load(open(path, encoding="utf-8"))["added_tokens"] if t["special"] and not t["normalized"]), None)
         self.cache = RunCache(MOST_WORDS)
-        self.ends, self.tails = None, {}
+        self.ends, self.tails = None, False
         end = self.tokenizer.model.end_of_word_suffix if self.by_word else None
         if end:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
-            if self.lower:
-                self.tails = {ord(c): self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ",."}
-
-    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Words that end in a letter and one comma or full stop are their stem's ids and the mark's."""
-        tailed = [w for w in words if len(w) > 1 and w[-1] in self.tails and 97 <= w[-2] <= 122] if self.tails else []
-        if not tailed:
-            return self._encode(words)
-        known = self.cache.known
-        stems = [w for w in dict.fromkeys(w[:-1] for w in tailed) if w not in known]
-        have = set(tailed)
-        whole = [w for w in words if w not in have]
-        fresh = set(whole)
-        stems = [w for w in stems if w not in fresh]
-        counts, flat = self._encode(whole + stems)
-        starts = np.cumsum(counts) - counts
-        at = {w: k for k, w in enumerate(whole + stems)}
-        base = len(flat)
-        old = [known[w[:-1]] for w in tailed if w[:-1] not in at]
-        flat = np.concatenate([flat, gather_runs(self.cache.flat, self.cache.starts[old], self.cache.counts[old]), np.array(list(self.tails.values()), np.uint32)])
-        old_ends = base + np.cumsum(self.cache.counts[old])
-        place = {t: len(flat) - len(self.tails) + k for k, t in enumerate(self.tails)}
-        runs_start, runs_count, sizes, n_old = [], [], [], 0
-        for w in words:
-            k = at.get(w if w not in have else w[:-1])
-            if k is not None:
-                runs_start.append(int(starts[k]))
-                runs_count.append(int(counts[k]))
-            else:
-                size = int(self.cache.counts[old[n_old]])
-                runs_start.append(int(old_ends[n_old]) - size)
-                runs_count.append(size)
-                n_old += 1
-            sizes.append(runs_count[-1])
-            if w in have:
-                runs_start.append(place[w[-1]])
-                runs_count.append(1)
-                sizes[-1] += 1
-        return np.array(sizes, np.int64), gather_runs(flat, np.array(runs_start, np.int64), np.array(runs_count, np.int64))
+            self.tails = self.lower
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids), from few calls of the library.
@@ -125,7 +87,7 @@ class WordEncoder:
         Words of letters alone are one pre-token each, whose last id ends a word: they are encoded
         in one text. Others are separated by a special token.
         """
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        texts = [w.decode("utf-8", "replace") for w in words]
         if self.mark is None or any(self.mark[0] in t for t in texts):
             return self._each(texts)
         letters = [k for k, t in enumerate(texts) if t.isalpha()] if self.ends is not None else []
@@ -145,27 +107,46 @@ class WordEncoder:
                 counts[own], starts[own] = n, used + np.cumsum(n) - n
                 used += len(ids)
                 flats.append(ids)
-        return counts, gather_runs(np.concatenate(flats), starts, counts)
+        return counts, gather_runs(np.concatenate([np.empty(0, np.uint32), *flats]), starts, counts)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [f.ids for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return counts, np.fromiter((x for one in ids for x in one), np.uint32, int(counts.sum()))
 
-    def _words(self, text: str | None) -> list[bytes]:
-        """Words, with A-Z in lower case where the tokenizer does that anyway and no special token can arise from it."""
-        if not text:
-            return []
-        raw = text.encode("utf-8", "surrogatepass")
-        return (raw.lower() if self.lower and b"<|" not in raw else raw).split()
-
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
+        return self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`, from Arrow strings.
+
+        Words are cut from the column's bytes and numbered by Arrow, so that Python sees each
+        distinct word of a column once. A-Z become lower case where the tokenizer does that anyway
+        and no special token can arise from it. A comma or full stop that ends a word after a-z is a
+        word of its own: it is a pre-token of its own, as letters and marks never share one.
+        """
         if not self.by_word:
-            ids = [f.ids for f in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            ids = [f.ids for f in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter((x for one in ids for x in one), np.uint32, int(counts.sum())), counts
-        return self.cache.runs([self._words(t) for t in texts], self._learn)
+        flat, edges = text_bytes(texts)
+        cuts = None
+        if self.lower and not ((flat[:-1] == 60) & (flat[1:] == 124)).any():  # <|
+            flat = LOWER[flat]
+            if self.tails:
+                last = np.ones(len(flat), bool)
+                last[:-1] = BLANK[flat[1:]]
+                last[edges[1:-1][edges[1:-1] > 0] - 1] = True
+                last &= (flat == 44) | (flat == 46)
+                last[1:] &= (flat[:-1] >= 97) & (flat[:-1] <= 122)
+                last[edges[:-1][edges[:-1] < len(flat)]] = False
+                cuts = np.flatnonzero(last)
+        words, before = split_words(flat, edges, cuts)
+        numbered = words.dictionary_encode()
+        at = self.cache.places(numbered.dictionary.to_pylist(), self._encode)
+        ids, ends = self.cache.at(at[numbered.indices.to_numpy()])
+        return ids, np.diff(ends[before])
 
 
 @lru_cache(2)
@@ -197,12 +178,23 @@ class _Folder:
                     out.write(x)
             self.fs.move(f"{self.base}/.{name}.{attempt}", f"{self.base}/{name}")
 
-    def read(self, name: str, kind: type) -> np.ndarray:
+    def read(self, name: str, kind: np.dtype) -> np.ndarray | _Ranges:
+        """What gives the numbers of a slice: the mapped file, or for a store one that reads the slice's bytes."""
         if self.local is not None:
             path = f"{self.local}/{name}"
             return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
-        with self.fs.open_input_file(f"{self.base}/{name}") as file:
-            return np.frombuffer(file.read(), kind)
+        return _Ranges(self.fs.open_input_file(f"{self.base}/{name}"), kind)
+
+
+class _Ranges:
+    def __init__(self, file: pa.NativeFile, kind: np.dtype) -> None:
+        self.file, self.kind = file, kind
+
+    def __len__(self) -> int:
+        return self.file.size() // self.kind.itemsize
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        return np.frombuffer(self.file.read_at((at.stop - at.start) * self.kind.itemsize, at.start * self.kind.itemsize), self.kind)
 
 
 INDEX = "part long, n_docs long, n_tokens long, doc_base long, token_base long"
@@ -226,14 +218,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, folde
         counts: list[np.ndarray] = []
 
         def chunks() -> Iterator[bytes]:
-            for rows in rows_of(batches):
-                doc_ids.extend(NULL_ID if x is None else x for x in rows["doc_id"])
-                ids, n = words.encode(rows["text"])
+            for rows in slices(batches, 16 << 20):
+                doc_ids.extend(NULL_ID if x is None else x for x in rows.column(0).to_pylist())
+                ids, n = words.encode_column(rows.column(1))
                 if end_id is not None:
-                    ids = np.insert(ids, np.cumsum(n), np.uint32(end_id))
                     n = n + 1
+                    own = np.ones(int(n.sum()), bool)
+                    own[np.cumsum(n) - 1] = False
+                    ended = np.full(len(own), end_id, kind)
+                    ended[own] = ids
+                    ids = ended
                 counts.append(n)
-                yield ids.astype(kind).tobytes()
+                yield ids.astype(kind, copy=False).tobytes()
 
         name = f"part-{part:05d}"
         target.write(f"{name}.ids", attempt, chunks())
@@ -244,8 +240,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, folde
         target.write(f"{name}.docs", attempt, [np.array(doc_ids, "<i8").tobytes()])
         yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(doc_ids)], "n_tokens": [int(offsets[-1])]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = rows.repartitionByRange(n_parts or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(n_parts or partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     found = sorted(dealt.mapInArrow(run, "part long, n_docs long, n_tokens long").collect())
     docs_before = tokens_before = 0
     index = []
@@ -267,8 +263,11 @@ def read_token_files(spark: SparkSession, folder: str, columns: str, row: Callab
             for part in batch.to_pylist():
                 name = f"part-{part['part']:05d}"
                 ids, offsets, doc_ids = source.read(f"{name}.ids", kind), source.read(f"{name}.off", np.dtype("<i8")), source.read(f"{name}.docs", np.dtype("<i8"))
-                for at in range(0, len(doc_ids), 4096):
-                    found = [row(int(doc_ids[i]), part["token_base"] + int(offsets[i]), ids[offsets[i] : offsets[i + 1]].astype("<u4")) for i in range(at, min(at + 4096, len(doc_ids)))]
+                for at in range(0, len(doc_ids), 1024):
+                    end = min(at + 1024, len(doc_ids))
+                    edges = offsets[at : end + 1].tolist()
+                    own = ids[edges[0] : edges[-1]].astype("<u4")
+                    found = [row(d, part["token_base"] + a, own[a - edges[0] : b - edges[0]]) for d, a, b in zip(doc_ids[at:end].tolist(), edges, edges[1:], strict=False)]
                     yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*found, strict=True)), strict=True)))
 
     names = [c.split()[0] for c in columns.split(", ")]
