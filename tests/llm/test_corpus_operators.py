@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ from treeloom.llm import common, html_wrappers, mixing, ngram_join, pseudo_likel
 # Helpers
 
 
+def hashes(text):
+    return common.word_hashes(pa.array([text], pa.string()))[0]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000, 1000 + i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(60)]
@@ -53,7 +58,8 @@ def test_tool_calls(spark):
     ] + [(9, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(40)]
     d = spark.createDataFrame(m, "conv_id long, turn long, role string, text string").withColumn("key", F.lit("clash"))
     out = {(r.conv_id, r.id, r.status): r for r in tool_calls.linked_calls(d).collect()}
-    assert {k[1:] for k in out if k[0] == 1} == {("turn 1", "unanswered"), ("?2.2", "malformed"), ("a", "linked"), ("a", "duplicate"), ("b", "invalid"), ("z", "orphan")}
+    assert {k[1:] for k in out if k[0] == 1} == {("#0", "message"), ("turn 1", "unanswered"), ("?2.2", "malformed"), ("a", "linked"), ("a", "duplicate"), ("b", "invalid"), ("z", "orphan")}
+    assert (out[1, "a", "duplicate"].turn, out[1, "a", "duplicate"].message) == (4, '{"arguments":{},"errors":[": unknown tool"],"id":"a","name":"nope","status":"duplicate"}') and out[None, "#None", "message"].message == '{"id":"#None","role":null,"status":"message","text":""}'
     assert out[1, "a", "linked"].message == '{"arguments":{"text":"x","turn":1},"id":"a","name":"reply","result":"ok é","status":"linked"}' and out[1, "b", "invalid"].depth == 1 and out[1, "b", "invalid"].n_errors == 2
     assert {k[1:] for k in out if k[0] == 2} == {("x", "cycle"), ("y", "cycle"), ("w", "cycle")} and out[3, "turn 0", "invalid"].n_errors == 1
     assert [out[9, f"turn {t}", "linked"].depth for t in range(0, 40, 2)] == list(range(20))
@@ -65,10 +71,83 @@ def test_canonical_json():
     assert tool_calls.errors_of({"a": 1, "c": [1]}, {"type": "object", "required": ["b"], "properties": {"a": {"type": "string"}, "c": {"items": {"minimum": 2}}}}) == ["/b: required", "/a: type", "/c/0: range"]
 
 
+def test_messages_keep_all():
+    parts = lambda text: [p[:2] + p[4:5] for p in tool_calls.parts_of(1, "assistant", text)]
+    assert parts('a <tool_call>{"id":1,"name":"n"}</tool_call> b <tool_result id="x">c</tool_result>') == [("call", "1", "{}"), ("result", "x", "c"), ("text", "#1.0", "a"), ("text", "#1.1", "b")]
+    whole = "9" * 5000
+    assert parts('<tool_call>{"id":"\\ud800","name":"n","arguments":[%s,"\\udfff"]}</tool_call>' % whole) == [("call", "\\ud800", f'[{whole},"\\udfff"]')]
+    assert tool_calls.errors_of(int(whole[:4000]), {"type": "integer"}) == [] and parts("<tool_call>%s</tool_call>" % ("[" * 500 + "]" * 500))[0][0] == "malformed"
+    assert tool_calls.parts_of(None, "user", "x") == [("message", "#None", 0, None, "x", None)] and parts("<tool_call>[]</tool_call>")[0][0] == "malformed"
+
+
+def brute_calls(messages):
+    late = 1 << 62
+    parts = [(conv, turn, role, *p) for conv, turn, role, text in messages for p in tool_calls.parts_of(turn, role, text)]
+    time = lambda p: late if p[1] is None else p[1]
+    calls, results, out = defaultdict(list), defaultdict(list), []
+    for p in parts:
+        if p[3] == "call":
+            calls[p[0], p[4]].append(p)
+        elif p[3] == "result":
+            results[p[0], p[4]].append(p)
+        else:
+            out.append((p[0], p[1], p[4], None, None, p[3], {"id": p[4], "text": p[7]} | ({"role": p[2]} if p[3] != "malformed" else {})))
+    first = {k: min(v, key=lambda p: (time(p), p[5], p[6], p[7], p[8] is not None, p[8] or "")) for k, v in calls.items()}
+
+    def depth(k, seen=()):
+        if k in seen:
+            return None
+        up = (k[0], first[k][8])
+        if first[k][8] is None or up not in first:
+            return 0
+        above = depth(up, (*seen, k))
+        return None if above is None else above + 1
+
+    places = defaultdict(list)
+    for k, p in first.items():
+        if (d := depth(k)) is not None:
+            places[k[0]].append((d, time(p), p[5], k[1]))
+    for k, v in calls.items():
+        for n, p in enumerate(sorted(v, key=lambda p: p is not first[k])):
+            found = [e for e in [tool_calls.errors_of(tool_calls.parsed(p[7]), tool_calls.SCHEMAS[p[6]]) if p[6] in tool_calls.SCHEMAS else [": unknown tool"]] if e]
+            record = {"id": p[4], "name": p[6], "arguments": tool_calls.parsed(p[7])} | ({"errors": found[0]} if found else {})
+            d, at, status = None, None, "duplicate"
+            if n == 0:
+                d = depth(k)
+                at = None if d is None else sorted(places[k[0]]).index((d, time(p), p[5], k[1]))
+                fits = sorted([r for r in results[k] if time(r) >= time(p)], key=lambda r: (time(r), r[5], r[7]))
+                if fits:
+                    record["result"] = fits[0][7]
+                status = "cycle" if d is None else "invalid" if found else "linked" if fits else "unanswered"
+                for r in results[k]:
+                    if not fits or r is not fits[0]:
+                        out.append((r[0], r[1], r[4], None, None, "repeated" if r in fits else "early", {"id": r[4], "text": r[7]}))
+            out.append((p[0], p[1], p[4], d, at, status, record))
+    out += [(r[0], r[1], r[4], None, None, "orphan", {"id": r[4], "text": r[7]}) for k, v in results.items() if k not in calls for r in v]
+    return Counter((*o[:6], len(o[6].get("errors", [])), tool_calls.canonical(o[6] | {"status": o[5]})) for o in out)
+
+
+def test_explicit_calls_brute(spark):
+    rng = random.Random(3)
+    made = []
+    for conv in [1, 2, 3, None]:
+        for turn in [*range(25), None]:
+            text = ""
+            for _ in range(rng.randrange(4)):
+                i = rng.choice("abcdefghijklmnop")
+                after = f',"after":"{rng.choice("abcdefghijklmnopqr")}"' if rng.random() < 0.7 else ""
+                arguments = rng.choice(['{"text":"x","turn":1}', "{}", '{"text":"","turn":-1}'])
+                text += rng.choice([f'<tool_call>{{"id":"{i}","name":"{rng.choice(["reply", "other"])}","arguments":{arguments}{after}}}</tool_call>', f'<tool_result id="{i}">r{rng.randrange(9)}</tool_result>', " words ", "<tool_call>{</tool_call>"])
+            made.append((conv, turn, rng.choice(["user", "assistant", "tool", "system", None]), text or rng.choice(["", "plain", None])))
+    made += [made[5]]
+    d = spark.createDataFrame(made, "conv_id long, turn long, role string, text string")
+    assert Counter(map(tuple, tool_calls.linked_calls(d).collect())) == brute_calls(made)
+
+
 def test_tool_calls_brute(spark):
     c = spark.read.parquet(f"{SMALL}/conversations.parquet").collect()
     have = {(r.conv_id, r.turn): r for r in c}
-    found = {(r.conv_id, r.turn): r for r in tool_calls.linked_calls(spark.read.parquet(f"{SMALL}/conversations.parquet")).collect() if r.status != "orphan"}
+    found = {(r.conv_id, r.turn): r for r in tool_calls.linked_calls(spark.read.parquet(f"{SMALL}/conversations.parquet")).collect() if r.status not in ("orphan", "message")}
     users = {k for k, r in have.items() if r.role == "user"}
     assert set(found) == users
     for conv, turn in users:
@@ -236,12 +315,47 @@ def test_wrappers(spark):
     ('<article><header><h1>T</h1></header><p>a < b & c &lt;p&gt;</p>tail<div class="article-comments">no</div></article>', "T\n\na < b & c <p>\n\ntail"), ("", ""), ("plain", "plain"), ("<main><p>x<!-- <p>y -->z<p hidden>h</main>", "xz"), ("<p>a<br>b", "a b"), ('<body><ul><li><a href=x>m</a><li><a href=y>n</a></ul><div><p>see <a href=z>this</a> text here, long enough</p></div>', "see this text here, long enough"),
 ])
 def test_pages(page, text):
-    assert html_wrappers.extract(page, html_wrappers.content_paths(html_wrappers.page_wrapper(page))) == text
+    assert html_wrappers.extract(page, html_wrappers.content_paths(html_wrappers.page_wrapper(page), 1)) == text
 
 
 def test_alignment():
     a, b = html_wrappers.page_wrapper("<ul><li>x<li>y</ul><p>same"), html_wrappers.page_wrapper("<ul><li>z</ul><h2>q</h2><p>same")
-    assert html_wrappers.expression(html_wrappers.merged(a, b)) == "<ul>(<li>#TEXT</li>)+</ul>(<h2>'q'</h2>)?<p>'same'</p>"
+    assert html_wrappers.expression(html_wrappers.merged(a, b)) == "<ul>(<li>#TEXT</li>)+</ul>(<h2>#SAME</h2>)?<p>#SAME</p>"
+
+
+def test_alignment_of_long_lists():
+    rng = random.Random(5)
+    kinds = [["e", f"div.k{i}", [], False, False] for i in range(600)]
+    a, b = ([x for x in kinds if rng.random() < 0.7] for _ in range(2))
+    pairs = html_wrappers._pairs(a, b)
+    assert all(a[i][1] == b[j][1] for i, j in pairs) and pairs == sorted(pairs) and {a[i][1] for i, _ in pairs} == {x[1] for x in a} & {x[1] for x in b}
+    a, b = ([["e", rng.choice("xyz"), [], False, False] for _ in range(300)] for _ in range(2))
+    pairs = html_wrappers._pairs(a, b)
+    assert all(a[i][1] == b[j][1] for i, j in pairs) and all(p < q and r < t for (p, r), (q, t) in itertools.pairwise(pairs)) and len(pairs) > 50
+    wide = "".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}><p>t{i}</p></div>" for i in range(5000))
+    both = html_wrappers.merged(html_wrappers.page_wrapper(wide), html_wrappers.page_wrapper(wide[3000:]))
+    assert html_wrappers.extract(wide, html_wrappers.content_paths(both, 2)).count("t") == 5000
+    assert html_wrappers.extract("<b>" * 30_000 + "x" + "</i>" * 30_000, html_wrappers.content_paths(html_wrappers.page_wrapper("<b>" * 30_000 + "x"), 1)) == "x"
+
+
+def _page(i, extra=""):
+    return f'<div class="top"><a href=/>Home</a></div><article><h1>Same title</h1><p>text {i}</p><div class="share-links">{"<a href=x>Share</a>" * 2} it</div><div>Follow us</div>{extra}<p class="related work">of {i}</p><p id="share-price">at {i}</p><ul><li><a href=a>source {i}</a><li><a href=b>another {i}</a></ul></article><div id="comments"><p>nice {i}</p></div>'
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_slots_decide(spark, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(html_wrappers, "MOST_WRAPPERS", 0)
+    rest = lambda i: [f"of {i}", f"at {i}", f"source {i}", f"another {i}"]
+    rows = [(i, f"http://many.b/{i}", _page(i)) for i in range(40)] + [(100 + i, f"http://few.b/{i}", _page(i)) for i in range(2)] + [(200 + i, f"http://copies.b/{i}", _page(7)) for i in range(12)]
+    rows += [(300, "\u00a0http://odd.b/1", "<p>x"), (301, "http://ODD.b", "<p>y"), (302, "http://eight.b", "<p>again</p>" * 8), (303, "http://long.b/1", "<article><p>a</p></article>"), (304, "http://long.b/2", "<div class=post><p>old</div>")]
+    rows += [(400 + i, f"http://plain.b/{i}", f"<div><p>word {i}</p></div><div><span>{'Always the same words. ' * 20}</span></div>") for i in range(7)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    expected = {i: ["Same title", f"text {i}", *rest(i)] for i in range(40)} | {100 + i: ["Same title", f"text {i}", "Follow us", *rest(i)] for i in range(2)} | {200 + i: ["Same title", "text 7", "Follow us", *rest(7)] for i in range(12)}
+    expected |= {300: ["x"], 301: ["y"], 302: ["again"] * 8, 303: ["a"], 304: ["old"]} | {400 + i: [f"word {i}"] for i in range(7)}
+    for n in (1, 5):  # whatever the order and partitions of the rows
+        out = html_wrappers.extracted(d.orderBy(F.rand(n)).repartition(n)).collect()
+        assert {r.page_id: r.text.split("\n\n") for r in out} == expected and len(out) == len(rows)
 
 
 @pytest.mark.parametrize("small", [True, False])
@@ -293,7 +407,7 @@ def test_language_model(spark):
     assert max(means[i] for i in range(10, 20)) < min(means[i] for i in range(10)) and np.mean([means[i] for i in range(10)]) > -np.log(9)
     out = {r.doc_id: r for r in pseudo_likelihood.scored(d).collect()}
     assert (out[900].n_words, out[900].log_likelihood, out[900].mean) == (0, 0.0, None) and out[902].n_words == 1 and pseudo_likelihood.scored(d.limit(0)).count() == 0
-    net, ids = pseudo_likelihood.unpacked(network), pseudo_likelihood.numbered(pseudo_likelihood.word_hashes(held_out[0]), words)
+    net, ids = pseudo_likelihood.unpacked(network), pseudo_likelihood.numbered(hashes(held_out[0]), words)
     assert means[0] == pytest.approx(pseudo_likelihood.forward(net, pseudo_likelihood.contexts(ids), ids)[0].mean(), abs=1e-3)
 
 
@@ -311,7 +425,7 @@ def test_rare_words_have_their_own_probability(spark, monkeypatch):
     out = pseudo_likelihood.scores(d, words, pseudo_likelihood.packed(net)).collect()
     assert len(out) == len(texts) and sum(r.n_words for r in out) == len(frequent) + sum(rare.values()) and sum(r.doc_id is None for r in out) == 1
     found = {r.doc_id: r.log_likelihood for r in out}
-    number = {w: int(pseudo_likelihood.numbered(pseudo_likelihood.word_hashes(w), words)[0]) for w in rare}
+    number = {w: int(pseudo_likelihood.numbered(hashes(w), words)[0]) for w in rare}
     assert min(number.values()) >= pseudo_likelihood.OWN
     together = Counter()
     for w, n in rare.items():
@@ -327,12 +441,42 @@ def test_rare_words_have_their_own_probability(spark, monkeypatch):
         assert sum(p for w, p in of_word.items() if number[w] == k) == pytest.approx(1, abs=0.02)
 
 
+def test_scores_brute(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK", 300)
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(pseudo_likelihood.OWN + 300)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(40)) + rng.choices(vocabulary[:30], k=20)) for _ in range(60)] + ["Once only\tÉ once", None, "", vocabulary[0]]
+    texts += [texts[3].upper(), texts[3]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pseudo_likelihood.scored(d).collect()}
+    frequent = pseudo_likelihood.frequent(d)
+    net = {k: v.astype(float) for k, v in pseudo_likelihood.unpacked(pseudo_likelihood.trained(d, frequent)).items()}
+    words = [re.findall(r"[^ \t]+", (t or "").translate({i: i + 32 for i in range(65, 91)})) for t in texts]
+    counts = Counter(w for t in words for w in t)
+    number = {w: int(pseudo_likelihood.numbered(hashes(w), frequent)[0]) for w in counts}
+    ranks = sorted(counts.values(), reverse=True)
+    assert all(counts[w] >= ranks[min(pseudo_likelihood.OWN, len(ranks)) - 1] for w in counts if number[w] < pseudo_likelihood.OWN)
+    together = Counter()
+    for w, n in counts.items():
+        together[number[w]] += n
+    softmax = lambda x, k: x[k] - np.log(np.exp(x).sum())
+    for i, t in enumerate(words):
+        ids = [pseudo_likelihood.BORDER] * 2 + [number[w] for w in t] + [pseudo_likelihood.BORDER] * 2
+        total = 0.0
+        for k, w in enumerate(t):
+            hidden = np.tanh(net["bias"] + sum(net["embed"][ids[k + 2 + p]] * net["scale"][j] for j, p in enumerate(pseudo_likelihood.PLACES)))
+            c, own = divmod(number[w], pseudo_likelihood.CLASSES)
+            total += softmax(hidden @ net["class"] + net["class_bias"], c) + softmax(hidden @ net["word"][c] + net["word_bias"][c], own) + np.log(counts[w] / together[number[w]] if number[w] >= pseudo_likelihood.OWN else 1)
+        assert out[i].log_likelihood == pytest.approx(total, abs=0.01) and out[i].n_words == len(t) and out[i].mean == (pytest.approx(total / len(t), abs=0.01) if t else None)
+        assert out[i].n_unseen == sum(counts[w] == n and n for w, n in Counter(t).items())
+
+
 def test_every_word_is_trained_on(spark):
     texts = ["a b c d e f g h i j k", "l", "", "m n o", None]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     words = pseudo_likelihood.frequent(d)
     start = pseudo_likelihood.start()
-    ids = [pseudo_likelihood.numbered(pseudo_likelihood.word_hashes(t), words) for t in texts]
+    ids = [pseudo_likelihood.numbered(hashes(t), words) for t in texts]
     memory = {name: np.full(shape, 1e-6, np.float32) for name, shape in pseudo_likelihood.SHAPES.items()}
     pseudo_likelihood.step(start, memory, np.concatenate([pseudo_likelihood.contexts(x) for x in ids if len(x)]), np.concatenate(ids))
     assert pseudo_likelihood.trained(d, words) == pytest.approx(pseudo_likelihood.packed(start), abs=1e-5)

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import components, gather_runs, holds_cache, hot_counts, only, partitions, rows_of, salted_join, written
+from treeloom.llm.common import components, hot_counts, only, partitions, salted_join, slices, word_hashes, written
 
 WIDTH = 5
 PIVOTS, PIVOT_CELL = 64, 64
@@ -58,32 +58,26 @@ _NONE = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _WordHashes()
-holds_cache("ngram_join", _words.clear)
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if len(words) < WIDTH:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
-    x = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    h = x[: 1 - WIDTH].copy()
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    x, before = word_hashes(texts)
+    h = x[: max(0, len(x) - WIDTH + 1)].copy()
     for k in range(1, WIDTH):
         h *= _BASE
-        h += x[k : len(x) - WIDTH + 1 + k]
+        h += x[k : len(x) - WIDTH + 1 + k] if len(h) else 0
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    return np.unique(h)
+    for i, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist(), strict=True)):
+        if b - a >= WIDTH:
+            yield np.unique(h[a : b - WIDTH + 1])
+        else:  # the whole sequence is one
+            words = texts[i].as_py().encode("utf-8", "surrogatepass").lower().split() if b > a else []
+            yield np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return next(shingle_sets(pa.array([text], pa.string())))
 
 
 def tag_of(tokens: np.ndarray) -> bytes:
@@ -228,11 +222,12 @@ class Finder:
 def _signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("ngram_join")
-        for part in rows_of(batches):
-            sets = [shingles(t) for t in part["text"]]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part["doc_id"], pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "tag": pa.array(map(tag_of, sets), pa.binary()), "text_key": pa.array(part["text_key"], pa.int64())})
+        for part in slices(batches):
+            found = [(len(s), tag_of(s)) for s in shingle_sets(part.column("text"))]
+            n, tags = zip(*found, strict=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "tag": pa.array(tags, pa.binary()), "text_key": part.column("text_key")})
 
-    return docs.withColumn("text_key", _text_key("text")).mapInArrow(run, "doc_id long, n long, tag binary, text_key long")
+    return docs.select("doc_id", "text", _text_key("text").alias("text_key")).mapInArrow(run, "doc_id long, n long, tag binary, text_key long")
 
 
 def _text_key(column: str) -> Column:
@@ -262,9 +257,8 @@ def _flat(column: pd.Series, kind: str) -> np.ndarray:
 
 def _first_posts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
     """(tag, the (25 + 15) % of shingles with the least hashes) of texts."""
-    for part in rows_of(batches):
-        for text in part["text"]:
-            s = shingles(text)
+    for part in slices(batches):
+        for s in shingle_sets(part.column("text")):
             if n := len(s):
                 yield _short(tag_of(s)), s[: n - least_overlap(n) + _extra(n)]
 
@@ -333,14 +327,15 @@ def _shared_counts(rows: DataFrame, posts: Callable, n_buckets: int) -> DataFram
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(tag64, n, tokens) of the classes in wanted(doc_id, tag64)."""
+    """(tag64, n, tokens) of the classes in wanted(doc_id, text_key, tag64)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows_of(batches):
-            sets = [(tag, s) for text, tag in zip(part["text"], part["tag64"], strict=True) if _short(tag_of(s := shingles(text))) == tag]
+        only("ngram_join")
+        for part in slices(batches):
+            sets = [(tag, s) for s, tag in zip(shingle_sets(part.column("text")), part.column("tag64").to_pylist(), strict=True) if _short(tag_of(s)) == tag]
             yield pa.RecordBatch.from_pydict({"tag64": pa.array([t for t, _ in sets], pa.int64()), "n": pa.array([len(s) for _, s in sets], pa.int64()), "tokens": pa.array([s.tobytes() for _, s in sets], pa.binary())})
 
-    return docs.join(wanted, "doc_id").select("text", "tag64").mapInArrow(run, "tag64 long, n long, tokens binary")
+    return docs.withColumn("text_key", _text_key("text")).join(wanted, ["doc_id", "text_key"]).select("text", "tag64").mapInArrow(run, "tag64 long, n long, tokens binary")
 
 
 def _rare(sets: DataFrame, n_buckets: int) -> DataFrame:
@@ -441,20 +436,29 @@ def _block_bytes(sets: DataFrame) -> int:
 
 
 def _compare(key: tuple, members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-    """Links between members and pivots: one count over all pivots for each member."""
-    sets = [np.frombuffer(x, "<u8") for x in pivots["tokens"]]
-    out = []
-    if sets and len(members):
-        flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(flat, kind="stable")
-        flat, own = flat[order], own[order]
-        sizes, tags = pivots["n"].to_numpy(), pivots["tag64"].to_numpy()
-        for tag, n, raw in zip(members["tag64"], members["n"], members["tokens"], strict=True):
+    """For each member a link to each component of pivots that holds one, and links that join the pivots."""
+    finder, links, own_tags = Finder(), [], []
+    if not len(pivots) or not len(members):
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+    known = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in pivots["tokens"]]))
+
+    def found(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, int, list[tuple[int, int]]]]:
+        for tag, n, raw in zip(rows["tag64"].tolist(), rows["n"].tolist(), rows["tokens"], strict=True):
             tokens = np.frombuffer(raw, "<u8")
-            left, right = np.searchsorted(flat, tokens), np.searchsorted(flat, tokens, "right")
-            both = np.bincount(gather_runs(own, left, right - left), minlength=len(sets))
-            out += [(tag, t) for t in tags[100 * both >= 75 * (n + sizes - both)] if t != tag]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+            ids = np.sort(at[known[at] == tokens])
+            yield tag, ids, n, finder.links(ids, n)
+
+    for tag, ids, n, others in found(pivots.sort_values(["n", "tag64"])):
+        links += [(tag, own_tags[m]) for _, m in others]
+        c = finder.find(others[0][0]) if others else finder.component()
+        for x, _ in others:
+            finder.union(c, x)
+        finder.add(ids, n, finder.find(c))
+        own_tags.append(tag)
+    for tag, _, _, others in found(members):
+        links += [(tag, own_tags[m]) for _, m in others if own_tags[m] != tag]
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
 def _pivot_links(sets: DataFrame, cells: DataFrame) -> DataFrame:
@@ -553,7 +557,7 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     n_buckets = int(max(64, partitions(spark), postings // 1_000_000))
     counts = _shared_counts(docs.select("text"), _first_posts, n_buckets)
     need = F.floor((15 * F.floor((3 * F.col("n_shingles") + 3) / 4) + 99) / 100)
-    wanted = written(classes.join(counts, "tag64").where(F.col("n_shared") >= need).select("doc_id", "tag64"), "wanted")
+    wanted = written(classes.join(counts, "tag64").where(F.col("n_shared") >= need).select("doc_id", "text_key", "tag64"), "wanted")
     sets = written(_sets(docs, wanted).dropDuplicates(["tag64"]), "sets")
     prefixes = written(_rare(sets, n_buckets), "prefixes")
     cells = written(components(_stars(prefixes, n_buckets), "cells").select(F.col("node").alias("tag64"), F.col("component").alias("cell")), "cells")

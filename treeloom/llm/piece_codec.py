@@ -14,8 +14,8 @@ leftmost on ties. The same segmentation is found here left to right, without mer
 Characters without a piece stand alone and become their bytes' pieces (or the unknown id).
 No piece has a space after another character, or a character that isn't a piece itself, so a text
 can be cut before runs of spaces and around such characters (`Codec` computes this from the model
-and cuts nowhere else); the ids of a stretch don't depend on the rest. Each task keeps those of
-the stretches it has met, at most MOST_STRETCHES, then starts anew.
+and cuts nowhere else); the ids of a stretch don't depend on the rest. Each worker keeps those of
+stretches it has met, of MOST_STRETCHES and bounded bytes at most those used most.
 
 A row depends on its own text alone: no shuffle.
 
@@ -36,11 +36,12 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm.common import RunCache, gather_runs, holds_cache, only, rows_of
+from treeloom.llm.common import RunCache, as_binary, gather_runs, holds_cache, only, slices, text_bytes
 
 SPACE = "▁"
 MOST_STRETCHES = 600_000
@@ -64,8 +65,8 @@ class Codec:
         self.loose = {c for c in "\n\t\r" if c not in inside}
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("pieces that hold a space after another character aren't supported")
-        lone = "".join(map(re.escape, sorted(self.loose)))
-        self.stretches = re.compile(f"[{lone}]|{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" if lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.lone = np.zeros(256, bool)
+        self.lone[[ord(c) for c in self.loose]] = True
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             self.automaton.add_word(p, len(p))
@@ -151,10 +152,35 @@ class Codec:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts without begin and end, number of ids of each)."""
-        return self.cache.runs([self.stretches(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts], self._learn)
-
-    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = list(map(self.ids_of, new))
+        return self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode_batch`, from Arrow strings.
+
+        A stretch begins at a text's first character, before a run of spaces, and on both sides of a
+        loose character. Stretches are cut from the column's bytes, a space before each text that
+        isn't empty, and numbered by Arrow, so that Python sees each distinct one of a column once.
+        """
+        flat, edges = text_bytes(texts)
+        if (flat == SPACE.encode()[0]).any() and SPACE.encode() in flat.tobytes():  # as good as a space
+            flat, edges = text_bytes(pc.replace_substring(texts, SPACE, " "))
+        full = np.diff(edges) > 0
+        flat = np.insert(flat, edges[:-1][full], 32)
+        edges = edges + np.concatenate([[0], np.cumsum(full)])
+        begins = np.zeros(len(flat) + 1, bool)
+        space, lone = flat == 32, self.lone[flat]
+        begins[:-1] = space | lone
+        begins[1:-1] &= ~(space[1:] & space[:-1])
+        begins[1:] |= lone
+        begins[edges] = True
+        starts = np.flatnonzero(begins)
+        numbered = as_binary(flat, starts).dictionary_encode()
+        at = self.cache.places(numbered.dictionary.to_pylist(), self._learn)
+        ids, ends = self.cache.at(at[numbered.indices.to_numpy()])
+        return ids, np.diff(ends[np.searchsorted(starts, edges)])
+
+    def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.ids_of(x.decode("utf-8", "replace").replace(" ", SPACE)) for x in new]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return counts, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
 
@@ -201,15 +227,15 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("piece_codec")
         c = codec(model)
-        for part in rows_of(batches):
-            flat, counts = c.encode_batch(part["text"])
+        for part in slices(batches):
+            flat, counts = c.encode_column(part.column(1))
             ends = np.cumsum(counts)
             found = []
             for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
                 ids = np.empty(n + 2, "<u4")
                 ids[0], ids[1:-1], ids[-1] = c.bos, flat[end - n : end], c.eos
                 found.append((n + 2, hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), *(pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), list(schema)[1:], strict=True))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -218,18 +244,18 @@ def encode_ids(docs: DataFrame, model: str) -> DataFrame:
     """docs with `ids` (array of int, begin and end included) in place of a column of that name."""
     kept = docs.drop(*(c for c in docs.columns if c.lower() == "ids"))
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    at = next(i for i, name in enumerate(kept.columns) if name.lower() == "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("piece_codec")
         c = codec(model)
-        for batch in batches:
-            step = max(1, int(batch.num_rows * (8 << 20) / max(batch.nbytes, 1)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                flat, counts = c.encode_batch(part.column(part.schema.get_field_index("text")).to_pylist())
-                edges = np.concatenate([[0], np.cumsum(counts)])
-                flat = np.insert(np.insert(flat, edges[1:], c.eos), edges[:-1] + np.arange(len(counts)), c.bos)
-                offsets = np.concatenate([[0], np.cumsum(counts + 2)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))], names=[*part.schema.names, "ids"])
+        for part in slices(batches):
+            flat, counts = c.encode_column(part.column(at))
+            offsets = np.concatenate([[0], np.cumsum(counts + 2)]).astype(np.int32)
+            own = np.ones(offsets[-1], bool)
+            own[offsets[:-1]] = own[offsets[1:] - 1] = False
+            ids = np.empty(len(own), np.int32)
+            ids[own], ids[offsets[:-1]], ids[offsets[1:] - 1] = flat, c.bos, c.eos
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=[*part.schema.names, "ids"])
 
     return kept.mapInArrow(run, schema)

@@ -8,8 +8,11 @@ its number has, times that, its share of all occurrences of the number's words;
 all words of the corpus sum to 1. As context, words that share a number look alike.
 
 Training: each task walks its own documents once, predicting every word of all of them, from the
-same start; the tasks' networks are averaged, weighted by the words they saw, chunk by chunk
-and over salts. Scoring: a document's score is the sum over all its words of log p(word | both sides).
+same start, in batches that double from LEAST_BATCH to MOST_BATCH words; the tasks' networks are
+averaged, weighted by the words they saw, chunk by chunk and over salts. So the network depends on
+which documents share a task. Scoring: a document's score is the sum over all its words of
+log p(word | both sides). `n_unseen` counts its words that no other document has: a text that stands
+in the corpus once has some, as a rule, and one of which there is a copy has none.
 
 Documents are cut into words once: written as blocks of places among a block's distinct 64-bit
 hashes. Counts of all words, which grow with the corpus, meet by bucket and return to the blocks;
@@ -28,43 +31,25 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import holds_cache, only, partitions, rows_of, words_of, written
+from treeloom.llm.common import only, partitions, rows_of, slices, word_hashes, written
 
 CLASSES, WIDTH = 32, 8
 PLACES = (-2, -1, 1, 2)
 VOCABULARY = CLASSES * CLASSES
 OWN = VOCABULARY - CLASSES
 BORDER = VOCABULARY
-RATE, BATCH = 0.5, 1024
-BLOCK, SLICE = 1 << 20, 1 << 13
+RATE, LEAST_BATCH, MOST_BATCH = 0.1, 512, 4096
+BLOCK, SLICE = 1 << 20, 1 << 12
 SALTS, CHUNKS = 32, 8
 SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "scale": (len(PLACES), WIDTH), "bias": (WIDTH,), "class": (WIDTH, CLASSES), "class_bias": (CLASSES,), "word": (CLASSES, WIDTH, CLASSES), "word_bias": (CLASSES, CLASSES)}
 _BLOCKS = "block long, n_own long, doc_ids binary, nulls binary, lengths binary, tokens binary, own binary"
 NETWORK_BYTES = 4 * sum(int(np.prod(s)) for s in SHAPES.values())
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-holds_cache("pseudo_likelihood", _hashes.clear)
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    words = [w for w in words_of(text.lower())] if text else []
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
 def numbered(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """Class numbers; vocabulary: hashes of frequent words, most frequent first."""
     order = np.argsort(vocabulary)
@@ -93,7 +78,7 @@ def contexts(ids: np.ndarray) -> np.ndarray:
 
 def forward(net: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray) -> tuple:
     """log p of each word, with what the backward pass needs; that is in order of the numbers."""
-    order = np.argsort(ids.astype(np.int16), kind="stable")
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
     ids = ids[order]
     edges = np.searchsorted(ids, np.arange(0, VOCABULARY + 1, CLASSES))
     placed = net["embed"] * net["scale"][:, None]
@@ -108,8 +93,8 @@ def forward(net: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray) ->
         if edges[c] < edges[c + 1]:
             np.matmul(hidden[edges[c] : edges[c + 1]], net["word"][c], out=x[1, edges[c] : edges[c + 1]])
     x[1] += net["word_bias"][ids // CLASSES]
-    most = x.max(initial=0)
-    x -= most if most - x.min(initial=0) < 60 else x.max(-1, keepdims=True)
+    if not net.get("small"):  # else no logit can overflow
+        x -= x.max(-1, keepdims=True)
     n = np.arange(len(ids))
     picked = x[0, n, ids // CLASSES] + x[1, n, ids % CLASSES]
     np.exp(x, out=x)
@@ -141,17 +126,28 @@ def gradients(net: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray) -
     up += x[0] @ net["class"].T
     up *= 1 - hidden * hidden
     out["bias"] = up.sum(0)
-    at = ((around + np.arange(len(PLACES)) * (VOCABULARY + 1))[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
-    placed = np.bincount(at, np.repeat(up[:, None, :], len(PLACES), 1).ravel(), len(PLACES) * (VOCABULARY + 1) * WIDTH).reshape(len(PLACES), VOCABULARY + 1, WIDTH)
-    out["scale"], out["embed"] = np.einsum("pvd,vd->pd", placed, net["embed"]), np.einsum("pvd,pd->vd", placed, net["scale"]).astype(np.float32)
+    placed = np.zeros((len(PLACES), VOCABULARY + 1, WIDTH), np.float32)
+    for k in range(len(PLACES)):
+        by = np.argsort(around[:, k].astype(np.uint16), kind="stable")
+        own = around[by, k]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        placed[k, own[first]] = np.add.reduceat(up[by], first)
+    out["scale"], out["embed"] = np.einsum("pvd,vd->pd", placed, net["embed"]), np.einsum("pvd,pd->vd", placed, net["scale"])
     return {name: g / len(ids) for name, g in out.items()}
 
 
 def step(net: dict[str, np.ndarray], memory: dict[str, np.ndarray], around: np.ndarray, ids: np.ndarray) -> None:
     """One Adagrad step uphill."""
+    bounded(net)
     for name, g in gradients(net, around, ids).items():
         memory[name] += g * g
-        net[name] += RATE * 0.2 * g / (np.sqrt(memory[name]) + 1e-6)
+        net[name] += RATE * g / (np.sqrt(memory[name]) + 1e-6)
+
+
+def bounded(net: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """net, with a note whether its logits, whose hidden values lie between -1 and 1, stay below 60."""
+    net["small"] = max(np.abs(net[w]).sum(-2).max() + np.abs(net[b]).max() for w, b in (("class", "class_bias"), ("word", "word_bias"))) < 60
+    return net
 
 
 def packed(net: dict[str, np.ndarray]) -> np.ndarray:
@@ -182,9 +178,10 @@ def encoded(docs: DataFrame) -> DataFrame:
                 "lengths": pa.array([np.array([len(x) for x in held], "<i8").tobytes()], pa.binary()), "tokens": pa.array([tokens.reshape(-1).astype("<u4").tobytes()], pa.binary()), "own": pa.array([own.astype("<u8").tobytes()], pa.binary()),
             })
 
-        for part in rows_of(batches):
-            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-                held.append(word_hashes(text))
+        for part in slices(batches):
+            hashes, before = word_hashes(part.column(1))
+            for doc_id, a, b in zip(part.column(0).to_pylist(), before[:-1].tolist(), before[1:].tolist(), strict=True):
+                held.append(hashes[a:b])
                 ids.append(doc_id)
                 size += len(held[-1])
                 if size >= BLOCK or len(held) >= BLOCK:
@@ -281,6 +278,7 @@ def _trained(blocks: DataFrame, vocabulary: np.ndarray, seed: int) -> np.ndarray
         around: list[np.ndarray] = []
         targets: list[np.ndarray] = []
         waiting = total = 0
+        size = LEAST_BATCH
         for part in rows_of(batches):
             for lengths, tokens, own in zip(part["lengths"], part["tokens"], part["own"], strict=True):
                 lengths = np.frombuffer(lengths, "<i8")
@@ -289,13 +287,15 @@ def _trained(blocks: DataFrame, vocabulary: np.ndarray, seed: int) -> np.ndarray
                 around.append(padded[at[:, None] + PLACES])
                 targets.append(ids)
                 waiting += len(at)
-                if waiting >= BATCH:
+                if waiting >= size:
                     a, t = np.concatenate(around), np.concatenate(targets)
-                    for at in range(0, len(t) - BATCH + 1, BATCH):
-                        step(net, memory, a[at : at + BATCH], t[at : at + BATCH])
-                        total += BATCH
-                    keep = len(t) % BATCH
-                    around, targets, waiting = [a[len(a) - keep :]], [t[len(t) - keep :]], keep
+                    done = 0
+                    while len(t) - done >= size:
+                        step(net, memory, a[done : done + size], t[done : done + size])
+                        done, total = done + size, total + size
+                        if total >= 32 * size:
+                            size = min(2 * size, MOST_BATCH)
+                    around, targets, waiting = [a[done:]], [t[done:]], len(t) - done
         if waiting:
             step(net, memory, np.concatenate(around), np.concatenate(targets))
             total += waiting
@@ -316,7 +316,7 @@ def _trained(blocks: DataFrame, vocabulary: np.ndarray, seed: int) -> np.ndarray
 
 
 def scores(docs: DataFrame, vocabulary: np.ndarray, network: np.ndarray) -> DataFrame:
-    """(doc_id, n_words, log_likelihood, mean) for each row of docs(doc_id, text).
+    """(doc_id, n_words, log_likelihood, mean, n_unseen) for each row of docs(doc_id, text).
 
     Words that share a number are told apart by their counts in docs.
     """
@@ -326,10 +326,10 @@ def scores(docs: DataFrame, vocabulary: np.ndarray, network: np.ndarray) -> Data
 
 def _scores(blocks: DataFrame, vocabulary: np.ndarray, network: np.ndarray, counts: DataFrame, n_buckets: int) -> DataFrame:
     together = shared(blocks, vocabulary)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_likelihood", pa.float64()), ("mean", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_likelihood", pa.float64()), ("mean", pa.float64()), ("n_unseen", pa.int64())])
 
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
-        net = unpacked(network)
+        net = bounded(unpacked(network))
         doc_ids, nulls, lengths, tokens, own = (np.frombuffer(block.column(c)[0].as_py(), k) for c, k in (("doc_ids", "<i8"), ("nulls", bool), ("lengths", "<i8"), ("tokens", "<u4"), ("own", "<u8")))
         n = np.zeros(len(own), np.int64)
         if len(own):
@@ -346,9 +346,12 @@ def _scores(blocks: DataFrame, vocabulary: np.ndarray, network: np.ndarray, coun
         ends = np.concatenate([[0], np.cumsum(lengths)])
         sums = np.round(np.diff(np.concatenate([[0.0], np.cumsum(log_p)])[ends]), 3)
         means = [s / k if k else None for s, k in zip(sums.tolist(), lengths.tolist(), strict=True)]
-        return pa.Table.from_arrays([pa.array(doc_ids, pa.int64(), mask=nulls), pa.array(lengths), pa.array(sums), pa.array(means, pa.float64())], schema=schema)
+        # Words of a document that are all of the corpus's.
+        pairs, times = np.unique(np.repeat(np.arange(len(lengths)), lengths) * max(len(own), 1) + tokens, return_counts=True)
+        unseen = np.bincount(pairs // max(len(own), 1), times * (n[pairs % max(len(own), 1)] == times) if len(own) else None, len(lengths)).astype(np.int64)
+        return pa.Table.from_arrays([pa.array(doc_ids, pa.int64(), mask=nulls), pa.array(lengths), pa.array(sums), pa.array(means, pa.float64()), pa.array(unseen)], schema=schema)
 
-    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, "doc_id long, n_words long, log_likelihood double, mean double")
+    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, "doc_id long, n_words long, log_likelihood double, mean double, n_unseen long")
 
 
 def scored(docs: DataFrame, seed: int = 0) -> DataFrame:
