@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -91,7 +92,7 @@ def edit_text(text: str, form: str, edit: dict, path: str = "") -> str:
         raise DocumentError("write", f"{target} can't be written")
     if target == "yaml":
         return T.write_yaml_stream(documents)
-    return registry.WRITERS[target](documents[0])
+    return registry.WRITERS[target](documents if which == "all" and len(documents) > 1 else documents[0])
 
 
 def edit_files(files: DataFrame, edit: dict, form: str | None = None) -> DataFrame:
@@ -136,7 +137,7 @@ def write_atomically(path: str, text: str, backup: bool = False) -> None:
     """Beside the file, then renamed over it, so a reader sees the old or the new one."""
     if backup and os.path.exists(path):
         os.replace(path, path + ".bak")
-    with open(f"{path}.tmp-{os.getpid()}", "w", encoding="utf-8", newline="") as out:
+    with open(f"{path}.tmp-{uuid.uuid4().hex}", "w", encoding="utf-8", newline="") as out:
         out.write(text)
     os.replace(out.name, path)
 

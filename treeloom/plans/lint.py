@@ -6,6 +6,7 @@ the DataFrame plan, so that files no rule is for never reach Python.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -19,11 +20,12 @@ from treeloom.functions.schema import Schema
 from treeloom.functions.template import render
 from treeloom.plans.rules import PRELUDE, RULES
 from treeloom.pointer import apply_patch, read_patch
-from treeloom.sources.registry import documents_of
+from treeloom.sources.registry import detect, documents_of
 from treeloom.sources.text_formats import read_yaml_stream, write_yaml
 from treeloom.values import DocumentError, equal, parse_json, to_json
 
 SEVERITIES = ("error", "warn", "info")
+RULE_ERROR = "rule-error"
 MOST_DEPTH = 4
 _FIELDS = {"id", "severity", "description", "match", "check", "loc", "fix", "references"}
 
@@ -62,7 +64,7 @@ def glob_pattern(glob: str) -> str:
 
 
 class Rule:
-    """One compiled rule. A rule of data (see rules.py) or of a YAML file (`read_rules`)."""
+    """One compiled rule. A rule of data (see rules.py) or of a YAML file (`read_rules`); workers keep the rules they compiled."""
 
     def __init__(self, spec: dict) -> None:
         self.spec = spec
@@ -73,13 +75,15 @@ class Rule:
         self.filter, self.line, self.pointer, self.file = compiled("filter"), compiled("line"), compiled("pointer"), compiled("file")
         self.fix_jq, self.fix_ops = compiled("fix_jq"), compiled("fix_ops")
         self.check = jq.compile_program(PRELUDE + spec["check"]) if self.kind == "jq" else None
-        self.schema = Schema(spec["check"]) if self.kind == "schema" and "schema_file" not in spec["check"] else None
+        if self.kind == "schema" and "schema_file" in spec["check"]:
+            raise DocumentError("parse", "a schema_file is read by read_rules, which knows where the rule's file is")
+        self.schema = Schema(spec["check"]) if self.kind == "schema" else None
         self.extract = jq.compile_program(PRELUDE + spec["check"]["extract"]) if self.kind == "composite" else None
         inner = spec["check"].get("rule") if self.kind == "composite" else None
         self.inner = Rule(inner) if inner else None
 
     def __reduce__(self):
-        return Rule, (self.spec,)
+        return _compiled, (to_json(self.spec),)
 
     def applies(self, value: object, form: str, path: str) -> bool:
         if form not in self.formats or self.glob and not self.glob.search(path):
@@ -91,9 +95,7 @@ class Rule:
         if self.kind == "jq":
             return [self._placed(v, value) for v in self.check.run(value)]
         if self.kind == "schema":
-            if self.schema is None:
-                return []
-            return [{"message": f"{self.message}: {where}: {text}".replace("::", ":"), "pointer": at} for at, where, text in self.schema.errors(value)]
+            return [{"message": ": ".join(x for x in (self.message, where, text) if x), "pointer": at} for at, where, text in self.schema.errors(value)]
         found = next(self.extract.stream(value), None)
         if not isinstance(found, list):
             return [{"message": "extract gave no array", "id": f"{self.id}.composite-extract-not-array"}]
@@ -130,8 +132,17 @@ class Rule:
         return out
 
 
-def read_rules(text: str) -> list[Rule]:
-    """Rules of a YAML file, one or a list; all mistakes are told at once."""
+@lru_cache(1024)
+def _compiled(spec: str) -> Rule:
+    return Rule(parse_json(spec))
+
+
+def read_rules(text: str, folder: str = ".") -> list[Rule]:
+    """Rules of a YAML file, one or a list; all mistakes are told at once.
+
+    A schema_file is found from `folder`, where the rules' file is, and becomes part of the rule, so
+    that tasks need no file.
+    """
     loaded = read_yaml_stream(text)[0]
     rules, wrong = [], []
     for n, raw in enumerate(loaded if isinstance(loaded, list) else [loaded]):
@@ -145,7 +156,7 @@ def read_rules(text: str) -> list[Rule]:
                     raise DocumentError("parse", f"{name} is missing")
             if raw["severity"] not in SEVERITIES:
                 raise DocumentError("parse", f"severity {raw['severity']!r}")
-            rules.append(Rule(_spec(raw)))
+            rules.append(Rule(_spec(raw, folder)))
         except DocumentError as error:
             wrong.append(f"rule {raw.get('id', n) if isinstance(raw, dict) else n}: {error.message}")
     if wrong:
@@ -153,7 +164,7 @@ def read_rules(text: str) -> list[Rule]:
     return rules
 
 
-def _spec(raw: dict) -> dict:
+def _spec(raw: dict, folder: str = ".") -> dict:
     match, check, loc, fix = raw["match"], raw["check"], raw.get("loc") or {}, raw.get("fix") or {}
     for part, known in ((match, {"format", "filter", "glob"}), (check, {"jq", "message", "schema", "schema_file", "prefix", "composite"}), (loc, {"pointer", "line", "file"}), (fix, {"ops", "jq"})):
         if extra := set(part) - known:
@@ -168,8 +179,35 @@ def _spec(raw: dict) -> dict:
         return {**spec, "kind": "jq", "check": body}
     if kinds[0] == "composite":
         inner = body.get("rule")
-        return {**spec, "kind": "composite", "check": {"extract": body["extract"], "format": body["format"], "rule": _spec(inner) if inner else None}}
-    return {**spec, "kind": "schema", "check": body if kinds[0] == "schema" else {"schema_file": body}}
+        return {**spec, "kind": "composite", "check": {"extract": body["extract"], "format": body["format"], "rule": _spec(inner, folder) if inner else None}}
+    return {**spec, "kind": "schema", "check": body if kinds[0] == "schema" else _schema_file(os.path.join(folder, body))}
+
+
+def _schema_file(path: str) -> object:
+    try:
+        with open(path, encoding="utf-8") as file:
+            return documents_of(file.read(), detect(path) or "json")[0]
+    except (OSError, UnicodeDecodeError) as error:
+        raise DocumentError("parse", f"schema_file {path}: {error}") from None
+
+
+def rule_files(path: str) -> list[Rule]:
+    """Rules of a file, or of all .yml and .yaml files below a folder but for fixtures (*.test.yml), in the order of their paths."""
+    if os.path.isdir(path):
+        found = sorted(os.path.join(at, name) for at, _, names in os.walk(path) for name in names if re.search(r"(?<!\.test)\.ya?ml$", name))
+    elif os.path.isfile(path):
+        found = [path]
+    else:
+        raise DocumentError("runtime", f"no rules at {path}")
+    out: dict[str, Rule] = {}
+    for name in found:
+        with open(name, encoding="utf-8") as file:
+            text = file.read()
+        try:
+            out |= {r.id: r for r in read_rules(text, os.path.dirname(name))}
+        except DocumentError as error:
+            raise DocumentError("parse", f"{name}: {error.message}") from None
+    return list(out.values())
 
 
 def rule_file(rules: Iterable[Rule]) -> str:
@@ -178,7 +216,7 @@ def rule_file(rules: Iterable[Rule]) -> str:
     for r in rules:
         s = r.spec
         some = lambda **parts: {k: v for k, v in parts.items() if v}
-        check = {"jq": s["check"]} if r.kind == "jq" else {"composite": some(**s["check"])} if r.kind == "composite" else s["check"] if "schema_file" in s["check"] else {"schema": s["check"]}
+        check = {"jq": s["check"]} if r.kind == "jq" else {"composite": some(**s["check"])} if r.kind == "composite" else {"schema": s["check"]}
         out.append({"id": r.id, "severity": r.severity, "match": some(format=r.formats, filter=s.get("filter"), glob=s.get("glob")), "check": {**check, "message": r.message}} | some(loc=some(line=s.get("line"), pointer=s.get("pointer"), file=s.get("file")), fix=some(ops=s.get("fix_ops"), jq=s.get("fix_jq")), references=r.references))
     return write_yaml(out)
 
@@ -195,14 +233,25 @@ def standard() -> tuple[Rule, ...]:
     return tuple(map(Rule, RULES))
 
 
-def resolve(names: list[str] | None, formats: Iterable[str]) -> list[Rule]:
-    """@std/<namespace>, a rule's id, or None for every namespace with a rule for one of the formats."""
+def resolve(names: list[str] | None, formats: Iterable[str], local: str | None = None) -> list[Rule]:
+    """@std/<namespace>, a rule's id, a file or folder of rules, or None for every namespace with a rule for one of the formats.
+
+    local: a folder whose rules come on top; one with the id of another takes its place.
+    """
+    out = {r.id: r for r in _resolved(names, formats)} | ({r.id: r for r in rule_files(local)} if local and os.path.isdir(local) else {})
+    return list(out.values())
+
+
+def _resolved(names: list[str] | None, formats: Iterable[str]) -> list[Rule]:
     if names is None:
         wanted = set(formats)
         spaces = {r.id.split(".")[0] for r in standard() if wanted & set(r.formats)}
         return [r for r in standard() if r.id.split(".")[0] in spaces]
     out = []
     for name in names:
+        if name.startswith((".", "/")) or re.search(r"\.ya?ml$", name):
+            out += rule_files(name)
+            continue
         short = name.removeprefix("@std/")
         found = [r for r in standard() if name == "@std" or r.id == short.replace("/", ".") or r.id.split(".")[0] == short]
         if not found:
@@ -309,9 +358,10 @@ def gate(rules: Iterable[Rule], path: Column, form: Column) -> Column:
 def lint(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """DIAGNOSTICS of documents (path, format, doc_idx, json, error ...), as `read_documents` gives them.
 
-    Documents that couldn't be read become lint.parse errors. With a column spans, findings with a
-    pointer get its line and column. Nothing is shuffled; the rows carry the
-    numbers that put them in order: path, document, rule, violation.
+    Documents that couldn't be read become lint.parse errors. Where a rule itself fails, there is a row
+    of severity RULE_ERROR with what went wrong, which counts in no summary and no exit code; the
+    other rules go on. With a column spans, findings with a pointer get its line and column. Nothing is
+    shuffled; the rows carry the numbers that put them in order: path, document, rule, violation.
     """
     rules = list(standard() if rules is None else rules)
     wanted = documents.where(F.col("json").isNull() | gate(rules, F.col("path"), F.col("format")))
@@ -327,7 +377,8 @@ def lint(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
                     continue
                 value, where = parse_json(text), parse_json(spans) if spans else None
                 for n, rule in enumerate(rules):
-                    found, _ = lint_value(value, form, path or "", [rule], where)
+                    found, problems = lint_value(value, form, path or "", [rule], where)
+                    rows += [(path, idx, n, -1, id_, RULE_ERROR, what, 1, 1, []) for id_, what in problems]
                     rows += [(d["path"], idx, n, k, d["rule_id"], d["severity"], d["message"], d["line"], d["col"], d["references"]) for k, d in enumerate(found)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
 

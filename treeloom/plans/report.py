@@ -1,4 +1,4 @@
-"""Diagnostics as JSON, SARIF 2.1.0, JUnit XML, TAP 13 and console text; unified diffs."""
+"""Diagnostics as JSON, JSONL, YAML, TOML, SARIF 2.1.0, JUnit XML, TAP 13 and console text; unified diffs."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from xml.sax.saxutils import escape, quoteattr
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.sources.text_formats import flow_yaml
+from treeloom.sources.text_formats import flow_yaml, write_toml, write_yaml
 from treeloom.values import to_json
 
 ORDER = ["path", "doc_idx", "rule_ord", "violation_ord"]
@@ -17,7 +17,24 @@ LEVELS = {"error": "error", "warn": "warning", "info": "note"}
 
 
 def envelope(rows: list[dict]) -> str:
-    return to_json({"diagnostics": [{k: d[k] for k in ("path", "line", "col", "message", "severity", "rule_id", "references")} for d in rows]}, 2) + "\n"
+    return to_json({"diagnostics": list(map(_plain, rows))}, 2) + "\n"
+
+
+def _plain(d: dict) -> dict:
+    return {k: d[k] for k in ("path", "line", "col", "message", "severity", "rule_id", "references")}
+
+
+def jsonl(rows: list[dict]) -> str:
+    """One finding a line."""
+    return "".join(to_json(_plain(d)) + "\n" for d in rows)
+
+
+def yaml(rows: list[dict]) -> str:
+    return write_yaml({"diagnostics": list(map(_plain, rows))})
+
+
+def toml(rows: list[dict]) -> str:
+    return write_toml({"diagnostics": list(map(_plain, rows))})
 
 
 def sarif(rows: list[dict], tool: str = "treeloom", version: str = "0.1.0") -> str:
@@ -89,3 +106,29 @@ def sarif_results(diagnostics: DataFrame) -> DataFrame:
     place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn")).alias("region")).alias("physicalLocation"))
     body = F.struct(F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))
     return rows.join(F.broadcast(first), "rule_id").select("n", F.to_json(body).alias("result"))
+
+
+def json_lines(diagnostics: DataFrame) -> DataFrame:
+    """(n, line): the findings as JSON Lines, natively."""
+    fields = ("path", "line", "col", "message", "severity", "rule_id", "references")
+    return _number(diagnostics).select("n", F.to_json(F.struct(*fields)).alias("line"))
+
+
+def junit_cases(diagnostics: DataFrame) -> DataFrame:
+    """(n, testcase): the elements of a JUnit suite, natively."""
+    def escaped(c: Column) -> Column:
+        for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(raw), F.lit(entity))
+        return c
+
+    place = F.concat_ws(":", "path", F.col("line").cast("string"), F.col("col").cast("string"))
+    open_ = F.concat(F.lit('<testcase classname="'), escaped(F.col("rule_id")), F.lit('" name="'), escaped(place), F.lit('">'))
+    failure = F.concat(F.lit('<failure type="error" message="'), escaped(F.col("message")), F.lit('"/>'))
+    other = F.concat(F.lit("<system-out>"), F.col("severity"), F.lit(": "), escaped(F.col("message")), F.lit("</system-out>"))
+    return _number(diagnostics).select("n", F.concat(open_, F.when(F.col("severity") == "error", failure).otherwise(other), F.lit("</testcase>")).alias("testcase"))
+
+
+def totals(diagnostics: DataFrame) -> DataFrame:
+    """(namespace, severity, n, n_files, n_files_near): findings by rule cube; a null stands for all. n_files_near is estimated from sketches, which merge before the shuffle."""
+    space = F.split_part("rule_id", F.lit("."), F.lit(1)).alias("namespace")
+    return diagnostics.cube(space, "severity").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"), F.approx_count_distinct("path", 0.02).alias("n_files_near"))
