@@ -43,7 +43,7 @@ def test_other_namespaces():
     assert found == ["npm.has-license", "npm.no-deprecated-fields", "npm.no-wildcard-deps", "npm.scripts-no-rm-rf-root"]
     assert fired("kind: Service\nspec: {}\n", "yaml") == [("k8s.missing-labels", 1), ("k8s.service-no-selector", 1)]
     md = dict(fired("---\ntitle: x\ndate: yesterday\n---\n# A\n\n### B\n\n# A\n\n\n\n[here](x) ![](i) http://a.b\n\n```\nx\n```\n\n```yaml\na: [\n```\n\n|a|b|\n|-|-|\n|1|2|3|\n\n## \n", "markdown", "p.md"))
-    assert {k.split(".")[1]: v for k, v in md.items()} == {"code-blocks-have-lang": 15, "code-blocks-yaml-valid": 21, "frontmatter-date-format": 1, "heading-order": 7, "image-alt-required": 13, "link-text-not-here": 13, "no-bare-urls": 13, "no-duplicate-headings": 9, "no-empty-headings": 27, "no-multiple-blank-lines": 13, "single-h1": 9, "table-pipes-aligned": 25}
+    assert {k.split(".")[1]: v for k, v in md.items()} == {"code-blocks-have-lang": 15, "code-blocks-yaml-valid": 21, "frontmatter-date-format": 1, "heading-order": 7, "image-alt-required": 13, "link-text-not-here": 1, "no-bare-urls": 13, "no-duplicate-headings": 9, "no-empty-headings": 27, "no-multiple-blank-lines": 13, "single-h1": 9, "table-pipes-aligned": 25}
     tf = [r for r, _ in fired('provider "aws" {}\nterraform {}\nvariable "v" {}\noutput "db_password" {\n value = 1\n}\nmodule "m" {\n source = "t/x"\n}\nmodule "n" {\n source = "./x"\n}\nresource "aws_security_group" "s" {\n ingress {\n  cidr_blocks = ["0.0.0.0/0"]\n }\n password = "hunter2"\n}\n', "hcl")]
     assert sorted(r.split(".")[1] for r in tf) == ["module-pin-version", "no-hardcoded-secrets", "no-public-ingress", "output-no-sensitive-without-flag", "provider-pinned", "state-backend-required", "tag-required", "variable-has-description"]
     assert [r for r, _ in fired('{"skill_name":"x","evals":[{"id":1}]}', "json", "a/evals.json")] == ["skills.evals-schema"] * 2
