@@ -5,7 +5,7 @@ nodes: doc_id, pointer, parent, key, idx, ord (pre-order), depth, type, str, num
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,58 +18,105 @@ from treeloom.values import DocumentError, is_number, number_text, parse_json, s
 NODES = "doc_id long, pointer string, parent string, key string, idx int, ord int, depth int, type string, str string, num_literal string, num double, bool boolean, n_children int"
 
 
-def _rows(doc_id: int, value: object) -> list[tuple]:
+def as_double(v: object) -> float:
+    """A number as the nearest double; infinite beyond their range."""
+    try:
+        return float(v)
+    except OverflowError:
+        return float("inf") if v > 0 else float("-inf")
+
+
+def _rows(doc_id: int, value: object, wanted: Callable[[str, str | None, str | None], bool] | None = None) -> list[tuple]:
     out: list[tuple] = []
     todo = [("", None, None, None, 0, value)]
+    n = 0
     while todo:
         at, parent, key, idx, depth, v = todo.pop()
-        number = is_number(v)
         items = list(v.items()) if isinstance(v, dict) else list(enumerate(v)) if isinstance(v, list) else []
-        out.append((doc_id, at, parent, key, idx, len(out), depth, type_name(v), v if isinstance(v, str) else None, number_text(v) if number else None, float(v) if number else None, v if isinstance(v, bool) else None, len(items) if isinstance(v, (dict, list)) else None))
+        if wanted is None or wanted(at, parent, key):
+            number = is_number(v)
+            out.append((doc_id, at, parent, key, idx, n, depth, type_name(v), v if isinstance(v, str) else None, number_text(v) if number else None, as_double(v) if number else None, v if isinstance(v, bool) else None, len(items) if isinstance(v, (dict, list)) else None))
+        n += 1
         for k, x in reversed(items):
             todo.append((f"{at}/{P.escape(k) if isinstance(k, str) else k}", at, k if isinstance(k, str) else None, k if isinstance(k, int) else None, depth + 1, x))
     return out
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """The nodes of docs(doc_id, json), in tasks, document by document."""
+def nodes(docs: DataFrame, pointers: Iterable[str] = (), parents: Iterable[str] = (), keys: Iterable[str] = ()) -> DataFrame:
+    """The nodes of docs(doc_id, json), in tasks, document by document.
+
+    With pointers, parents or keys only the nodes at one of the pointers, right below one of the
+    parents, or of one of the keys are built; the others are walked over. A text that is no JSON
+    gives one row of type "error", with no pointer and what is wrong in str; a null none.
+    """
     names = [c.split()[0] for c in NODES.split(", ")]
     kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]] for c in NODES.split(", ")]
+    at, below = (frozenset(P.render(P.parse(x)) for x in part) for part in (pointers, parents))
+    named = frozenset(keys)
+    wanted = (lambda p, parent, key: p in at or parent in below or key in named) if at or below or named else None
+
+    def rows_of(d: int, text: str) -> list[tuple]:
+        try:
+            return _rows(d, parse_json(text), wanted)
+        except DocumentError as error:
+            return [(d, None, None, None, None, 0, 0, "error", error.message, None, None, None, None)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [r for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if text is not None for r in _rows(d, parse_json(text))]
+            for at_ in range(0, batch.num_rows, 256):
+                part = batch.slice(at_, 256)
+                rows = [r for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if text is not None for r in rows_of(d, text)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("json").cast("string")).mapInArrow(run, NODES)
 
 
-def rebuild(table: DataFrame) -> DataFrame:
-    """docs(doc_id, json) from nodes, members in the order of ord. A document is one task's work."""
-    kept = table.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "pointer", "parent", "key", "type", "str", "num_literal", "bool"))).alias("rows"))
+def errors(table: DataFrame) -> DataFrame:
+    """(doc_id, error) of documents that are no JSON."""
+    return table.where("type = 'error'").select("doc_id", F.col("str").alias("error"))
+
+
+def rebuild(table: DataFrame, root: str | None = None) -> DataFrame:
+    """docs(doc_id, json) from nodes, members in the order of ord. A document is one task's work.
+
+    root: a column of pointers; then (doc_id, root, json) of the subtree that each names, whose
+    nodes have it in that column.
+    """
+    groups = ["doc_id", *([root] if root else [])]
+    kept = table.where("pointer is not null").groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("ord", "pointer", "parent", "key", "type", "str", "num_literal", "bool"))).alias("rows"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for rows in batch.column(1).to_pylist():
+            for rows in batch.column(len(groups)).to_pylist():
                 built: dict[str, object] = {}
-                root = None
-                for r in rows:
+                top = None
+                for n, r in enumerate(rows):
                     kind = r["type"]
                     v = {} if kind == "object" else [] if kind == "array" else r["str"] if kind == "string" else r["bool"] if kind == "bool" else parse_json(r["num_literal"]) if kind in ("int", "float") else None
                     built[r["pointer"]] = v
-                    if r["parent"] is None:
-                        root = v
+                    if n == 0:
+                        top = v
                     elif isinstance(built[r["parent"]], dict):
                         built[r["parent"]][r["key"]] = v
                     else:
                         built[r["parent"]].append(v)
-                out.append(to_json(root))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "json"])
+                out.append(to_json(top))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(groups)], pa.array(out, pa.string())], names=[*groups, "json"])
+
+    return kept.mapInArrow(run, "doc_id long, " + (f"{root} string, " if root else "") + "json string")
+
 
-    return kept.mapInArrow(run, "doc_id long, json string")
+def above(pointer: Column, own: bool = True) -> Column:
+    """The pointers of a node's ancestors, from the root, and its own."""
+    steps = F.split(pointer, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(steps) - (0 if own else 1)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+
+
+def subtrees(table: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, root, json) of the subtrees at roots(doc_id, root), none of which lies in another."""
+    spread = table.where("pointer is not null").join(roots.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("root", F.explode(above(F.col("pointer"))))
+    return rebuild(spread.join(roots.select("doc_id", "root"), ["doc_id", "root"], "left_semi"), "root")
 
 
 def text_of(prefix: str = "") -> Column:
@@ -83,10 +130,32 @@ def text_of(prefix: str = "") -> Column:
 
 
 def get(table: DataFrame, pointer: str) -> DataFrame:
-    """(doc_id, type, value) of documents that have the pointer; value is JSON for scalars."""
+    """(doc_id, type, value) of documents that have the pointer; value is JSON, a subtree's too.
+
+    `nodes` may have been told to build only nodes at or below the pointer's scalars; a container's value
+    needs all nodes below it.
+    """
+    at = P.render(P.parse(pointer))
+    return _with_subtrees(table, table.where(F.col("pointer") == at)).select("doc_id", "type", "value")
+
+
+def _with_subtrees(table: DataFrame, found: DataFrame) -> DataFrame:
+    """found, nodes none of which lies in another, with their value as JSON."""
+    whole = subtrees(table, found.where("type in ('object', 'array') and n_children > 0").select("doc_id", F.col("pointer").alias("root")))
+    scalar = F.when(F.col("n_children") == 0, F.when(F.col("type") == "object", "{}").otherwise("[]")).otherwise(text_of())
+    return found.join(whole.withColumnRenamed("root", "pointer"), ["doc_id", "pointer"], "left").withColumn("value", F.coalesce("json", scalar)).drop("json")
+
+
+def get_scalar(table: DataFrame, pointer: str) -> DataFrame:
+    """(doc_id, type, value) as `get`, where no container stands at the pointer: a filter, without a shuffle; containers give null."""
     return table.where(F.col("pointer") == P.render(P.parse(pointer))).select("doc_id", "type", text_of().alias("value"))
 
 
+def values(table: DataFrame, pointer: str) -> DataFrame:
+    """(doc_id, ord, key, idx, type, value) of the members below a pointer, subtrees as JSON."""
+    return _with_subtrees(table, table.where(F.col("parent") == P.render(P.parse(pointer)))).select("doc_id", "ord", "key", "idx", "type", "value")
+
+
 def exists(docs: DataFrame, table: DataFrame, pointer: str) -> DataFrame:
     """(doc_id, found) for each document."""
     there = table.where(F.col("pointer") == P.render(P.parse(pointer))).select("doc_id", F.lit(True).alias("there"))
@@ -104,7 +173,7 @@ def lengths(table: DataFrame, pointer: str) -> DataFrame:
 
 
 def paths(table: DataFrame) -> DataFrame:
-    return table.select("doc_id", "ord", "pointer", "type")
+    return table.where("pointer is not null").select("doc_id", "ord", "pointer", "type")
 
 
 def suggestions(known: DataFrame, missing: DataFrame, most: int = 3) -> DataFrame:
@@ -210,29 +279,59 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(doc_id, op, path, value, ord): the fewest changes from nodes a to nodes b.
 
     A full outer join on (doc_id, pointer); of changed pointers only the topmost stay, by an
-    anti-join against their changed ancestors. value is JSON for scalars, the type for containers.
+    anti-join against their changed ancestors. value is JSON, of b's whole subtree for containers.
+    In the order of ord a document's changes can be applied one after another: removals come first,
+    the last ones of a before those before them, then what b has, in its order.
     """
     keys = ["doc_id", "pointer"]
+    a, b = (x.where("pointer is not null") for x in (a, b))
     x = a.select(*keys, F.col("type").alias("ta"), text_of().alias("va"), F.col("num").alias("na"), F.col("ord").alias("oa"))
-    y = b.select(*keys, F.col("type").alias("tb"), text_of().alias("vb"), F.col("num").alias("nb"), F.col("ord").alias("ob"))
+    y = b.select(*keys, F.col("type").alias("tb"), text_of().alias("vb"), F.col("num").alias("nb"), F.col("ord").alias("ob"), "n_children")
     kind = lambda c: F.when(F.col(c).isin("int", "float"), "number").otherwise(F.col(c))
     number = (kind("ta") == "number") & (kind("tb") == "number")
     same = (kind("ta") == kind("tb")) & F.when(number, (F.col("va") == F.col("vb")) | (F.col("na") == F.col("nb"))).otherwise(F.col("va").eqNullSafe(F.col("vb")))
     both = x.join(y, keys, "full_outer")
     changed = both.where(F.col("ta").isNull() | F.col("tb").isNull() | ~same)
-    changed = changed.select(*keys, F.when(F.col("ta").isNull(), "add").when(F.col("tb").isNull(), "remove").otherwise("replace").alias("op"), F.when(F.col("tb").isNotNull(), F.coalesce("vb", "tb")).alias("value"), F.coalesce(F.when(F.col("tb").isNull(), F.col("oa")), "ob").alias("ord"))
-    steps = F.split("pointer", "/")
-    above = changed.where("pointer <> ''").select("doc_id", F.col("pointer").alias("below"), F.explode(F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, 1, n), "/"))).alias("pointer"))
-    under = above.join(changed.select(*keys), keys, "left_semi").select("doc_id", F.col("below").alias("pointer")).distinct()
-    return changed.join(under, keys, "left_anti").select("doc_id", "op", F.col("pointer").alias("path"), "value", "ord")
+    changed = changed.select(*keys, F.when(F.col("ta").isNull(), "add").when(F.col("tb").isNull(), "remove").otherwise("replace").alias("op"), F.col("tb").alias("type"), F.col("vb").alias("scalar"), "n_children", F.when(F.col("tb").isNull(), -F.col("oa")).otherwise(F.col("ob")).alias("ord"))
+    up = changed.where("pointer <> ''").select("doc_id", F.col("pointer").alias("below"), F.explode(above(F.col("pointer"), own=False)).alias("pointer"))
+    under = up.join(changed.select(*keys), keys, "left_semi").select("doc_id", F.col("below").alias("pointer")).distinct()
+    top = changed.join(under, keys, "left_anti")
+    whole = subtrees(b, top.where("n_children > 0").select("doc_id", F.col("pointer").alias("root"))).withColumnRenamed("root", "pointer")
+    empty = F.when(F.col("type") == "object", "{}").when(F.col("type") == "array", "[]")
+    return top.join(whole, keys, "left").select("doc_id", "op", F.col("pointer").alias("path"), F.coalesce("json", "scalar", empty).alias("value"), "ord")
+
+
+def merge_trees(target: DataFrame, patch_: DataFrame) -> DataFrame:
+    """The nodes (without depth, num and n_children; ord long) of target after merge patches, by doc_id; `rebuild` makes documents of them.
+
+    Outside arrays a patch's nulls delete, its scalars and arrays replace, its objects merge with
+    objects and replace all else. So target keeps the nodes that have none of the patch's cuts at or
+    above them, and gets the patch's other nodes; two anti-joins and a union. A replaced member
+    keeps its place, new ones come last. A document without patch stays; a patch without document
+    makes one.
+    """
+    columns = ["doc_id", "pointer", "parent", "key", "idx", "type", "str", "num_literal", "bool"]
+    t, p = (x.where("pointer is not null") for x in (target, patch_))
+    arrays = p.where("type = 'array'").select("doc_id", F.col("pointer").alias("up"))
+    inside = p.where("depth > 0").select("doc_id", "pointer", F.explode(above(F.col("pointer"), own=False)).alias("up")).join(arrays, ["doc_id", "up"], "left_semi").select("doc_id", "pointer").distinct()
+    plain = p.join(inside, ["doc_id", "pointer"], "left_anti")
+    old = t.select("doc_id", "pointer", F.col("type").alias("old"), F.col("ord").alias("place"))
+    met = plain.join(old, ["doc_id", "pointer"], "left")
+    cuts = met.where("type <> 'object' or old is not null and old <> 'object'").select("doc_id", F.col("pointer").alias("up"), "place")
+    gone = t.select("doc_id", "pointer", F.explode(above(F.col("pointer"))).alias("up")).join(cuts.select("doc_id", "up"), ["doc_id", "up"], "left_semi").select("doc_id", "pointer").distinct()
+    stays = t.join(gone, ["doc_id", "pointer"], "left_anti").select(*columns, F.shiftleft(F.col("ord").cast("long"), 31).alias("ord"))
+    # New nodes stand where the old member was, else behind all.
+    new = plain.where("type <> 'null' or pointer = ''").unionByName(p.join(inside, ["doc_id", "pointer"], "left_semi"))
+    new = new.join(old.where("old = 'object'").select("doc_id", "pointer").join(gone, ["doc_id", "pointer"], "left_anti").withColumn("both", F.lit(True)), ["doc_id", "pointer"], "left").where("not (type = 'object' and coalesce(both, false))").drop("both")
+    places = cuts.where("place is not null")
+    new = new.withColumn("up", F.explode(above(F.col("pointer")))).join(places, ["doc_id", "up"], "left").groupBy(*columns, F.col("ord").alias("own")).agg(F.min("place").alias("place"))
+    last = F.lit((1 << 31) - 1).cast("long")
+    return stays.unionByName(new.select(*columns, (F.shiftleft(F.coalesce(F.col("place").cast("long"), last), 31) + F.col("own") + 1).alias("ord")))
 
 
 def merge_nodes(target: DataFrame, patch_: DataFrame) -> DataFrame:
-    """(doc_id, key, value) of flat objects after a merge patch: the patch's value, null deletes."""
-    t = target.where("depth = 1").select("doc_id", "key", text_of().alias("old"), F.col("ord").alias("ot"))
-    p = patch_.where("depth = 1").select("doc_id", "key", text_of().alias("new"), F.col("ord").alias("op"))
-    both = t.join(p, ["doc_id", "key"], "full_outer")
-    return both.where(F.col("new").isNull() | (F.col("new") != "null")).select("doc_id", "key", F.coalesce("new", "old").alias("value"))
+    """(doc_id, key, value) of the members of objects after a merge patch; value is JSON for scalars, null for containers."""
+    return merge_trees(target, patch_).where("parent = ''").select("doc_id", "key", text_of().alias("value"))
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:

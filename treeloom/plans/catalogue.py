@@ -214,23 +214,23 @@ def _event_documents(spark, sf_dir):
 
 @_query("SELECT event_id AS doc_id, 'int' AS type, props->>'k' AS value FROM events")
 def pointer_get(spark, sf_dir):
-    return frames.get(frames.nodes(_event_documents(spark, sf_dir)), "/k")
+    return frames.get_scalar(frames.nodes(_event_documents(spark, sf_dir), pointers=["/k"]), "/k")
 
 
 @_query("SELECT event_id AS doc_id, json_exists(props, '$.k') AS found FROM events")
 def pointer_exists(spark, sf_dir):
     d = _event_documents(spark, sf_dir)
-    return frames.exists(d, frames.nodes(d), "/k")
+    return frames.exists(d, frames.nodes(d, pointers=["/k"]), "/k")
 
 
 @_query("SELECT l_orderkey AS doc_id, l_partkey::VARCHAR AS value FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1")
 def pointer_get_nested(spark, sf_dir):
-    return frames.get(frames.nodes(order_documents(spark, sf_dir)), "/lines/0/l_partkey").select("doc_id", "value")
+    return frames.get_scalar(frames.nodes(order_documents(spark, sf_dir), pointers=["/lines/0/l_partkey"]), "/lines/0/l_partkey").select("doc_id", "value")
 
 
 @_query("SELECT c_custkey AS doc_id, unnest(['c_custkey', 'c_name', 'c_mktsegment']) AS key, unnest(['int', 'string', 'string']) AS type, unnest([c_custkey::VARCHAR, '\"' || c_name || '\"', '\"' || c_mktsegment || '\"']) AS value, unnest([1, 2, 3]) AS ord FROM customer")
 def node_keys_values(spark, sf_dir):
-    return frames.children(frames.nodes(_customers(spark, sf_dir)), "").select("doc_id", "key", "type", "value", "ord")
+    return frames.children(frames.nodes(_customers(spark, sf_dir), parents=[""]), "").select("doc_id", "key", "type", "value", "ord")
 
 
 def _customers(spark, sf_dir):
@@ -239,7 +239,7 @@ def _customers(spark, sf_dir):
 
 @_query("SELECT l_orderkey AS doc_id, 'array' AS type, count(*) AS len FROM lineitem GROUP BY 1")
 def node_len_type(spark, sf_dir):
-    return frames.lengths(frames.nodes(order_documents(spark, sf_dir)), "/lines")
+    return frames.lengths(frames.nodes(order_documents(spark, sf_dir), pointers=["/lines"]), "/lines")
 
 
 @_query("SELECT event_id AS doc_id, unnest(['', '/k']) AS pointer, unnest(['object', 'int']) AS type, unnest([0, 1]) AS ord FROM events")
@@ -261,7 +261,7 @@ def pointer_did_you_mean(spark, sf_dir):
 
 @_query("SELECT l_orderkey AS doc_id, CASE WHEN count(*) >= 3 THEN '/lines/2' ELSE '/lines' END AS prefix FROM lineitem GROUP BY 1")
 def pointer_longest_prefix(spark, sf_dir):
-    return frames.longest_prefix(frames.nodes(order_documents(spark, sf_dir)), "/lines/2/nothing/here")
+    return frames.longest_prefix(frames.nodes(order_documents(spark, sf_dir), pointers=["", "/lines", "/lines/2", "/lines/2/nothing", "/lines/2/nothing/here"]), "/lines/2/nothing/here")
 
 
 @_query("SELECT l_orderkey AS doc_id, l_partkey::VARCHAR AS value, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1)::INT AS n FROM lineitem WHERE l_discount > 0.05")
@@ -271,7 +271,7 @@ def jsonpath_wildcard_filter(spark, sf_dir):
 
 @_query("SELECT l_orderkey AS doc_id, '/lines/' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1) || '/l_suppkey' AS pointer, l_suppkey::VARCHAR AS value FROM lineitem")
 def jsonpath_descendant(spark, sf_dir):
-    return frames.descendants(frames.nodes(order_documents(spark, sf_dir)), "l_suppkey").select("doc_id", "pointer", "value")
+    return frames.descendants(frames.nodes(order_documents(spark, sf_dir), keys=["l_suppkey"]), "l_suppkey").select("doc_id", "pointer", "value")
 
 
 @_query("SELECT l_orderkey AS doc_id, max_by(l_partkey, (l_linenumber, l_partkey))::VARCHAR AS value FROM lineitem GROUP BY 1")
@@ -310,6 +310,37 @@ def merge_patch_null_delete(spark, sf_dir):
     return frames.merge_nodes(frames.nodes(a), frames.nodes(p))
 
 
+def _nested_customers(spark, sf_dir):
+    c = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("seg"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name", "c_nationkey", F.to_json(F.struct(c.alias("c"), F.array("c_nationkey").alias("tags"))).alias("json"))
+
+
+@_query("""
+SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN '{"c":{"name":"' || c_name || '","x":{"y":1}},"tags":[1,null]}' WHEN 1 THEN '{"c":5,"tags":[' || c_nationkey || '],"new":{}}'
+  ELSE '{"c":{"name":"' || c_name || '","seg":"' || c_mktsegment || '"},"tags":{"k":[{"z":null}]}}' END AS json FROM customer""")
+def merge_patch_nested(spark, sf_dir):
+    a = _nested_customers(spark, sf_dir)
+    patches = F.when(F.col("doc_id") % 3 == 0, '{"c":{"seg":null,"x":{"y":1,"n":null}},"tags":[1,null]}').when(F.col("doc_id") % 3 == 1, '{"c":5,"new":{"n":null}}').otherwise('{"c":{},"tags":{"k":[{"z":null}],"n":null}}')
+    return frames.rebuild(frames.merge_trees(frames.nodes(a), frames.nodes(a.select("doc_id", patches.alias("json")))))
+
+
+@_query("""
+SELECT c_custkey AS doc_id, 'remove' AS op, '/c/seg' AS path, NULL::VARCHAR AS value FROM customer
+UNION ALL SELECT c_custkey, 'add', '/c/x', '{"y":[1,{}]}' FROM customer
+UNION ALL SELECT c_custkey, 'add', '/tags/1', '{"n":"' || c_name || '"}' FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 'replace', '/tags', '{}' FROM customer WHERE c_custkey % 2 = 1""")
+def diff_nested(spark, sf_dir):
+    a = _nested_customers(spark, sf_dir)
+    head = F.concat(F.lit('{"c":{"name":"'), "c_name", F.lit('","x":{"y":[1,{}]}},"tags":'))
+    b = F.concat(head, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("["), F.col("c_nationkey").cast("string"), F.lit(',{"n":"'), "c_name", F.lit('"}]}'))).otherwise("{}}"))
+    return frames.diff(frames.nodes(a), frames.nodes(a.select("doc_id", b.alias("json")))).drop("ord")
+
+
+@_query("""SELECT c_custkey AS doc_id, unnest(['c', 'tags']) AS key, unnest(['{"name":"' || c_name || '","seg":"' || c_mktsegment || '"}', '[' || c_nationkey || ']']) AS value FROM customer""")
+def node_values_nested(spark, sf_dir):
+    return frames.values(frames.nodes(_nested_customers(spark, sf_dir)), "").select("doc_id", "key", "value")
+
+
 @_query("SELECT c_custkey AS doc_id, '{\"c_name\":\"' || c_name || '\",\"c_mktsegment\":\"X\",\"nation\":' || c_nationkey || '}' AS json FROM customer")
 def patch_apply_ops(spark, sf_dir):
     a, _ = _customer_versions(spark, sf_dir)
