@@ -81,8 +81,10 @@ def gather_runs(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     total = int(lengths.sum())
     if not total:
         return flat[:0]
-    ends = np.cumsum(lengths)
-    return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 _caches: dict[str, Callable[[], None]] = {}
@@ -141,10 +143,8 @@ def split_words(flat: np.ndarray, edges: np.ndarray, cuts: np.ndarray | None = N
     if cuts is not None:
         begins[cuts] = True
     kept = flat[inside]
-    starts = np.flatnonzero(begins[inside])
-    offsets = np.append(starts, len(kept)).astype(np.int32)
-    before = np.concatenate([[0], np.cumsum(begins)])
-    return as_binary(kept, offsets), before[edges]
+    offsets = np.append(np.flatnonzero(begins[inside]), len(kept))
+    return as_binary(kept, offsets), np.searchsorted(np.flatnonzero(begins), edges)
 
 
 def as_binary(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:

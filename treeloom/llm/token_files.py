@@ -218,7 +218,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None, folde
         counts: list[np.ndarray] = []
 
         def chunks() -> Iterator[bytes]:
-            for rows in slices(batches, 16 << 20):
+            for rows in slices(batches):
                 doc_ids.extend(NULL_ID if x is None else x for x in rows.column(0).to_pylist())
                 ids, n = words.encode_column(rows.column(1))
                 if end_id is not None:
