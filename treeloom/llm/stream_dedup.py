@@ -1,18 +1,21 @@
 """Exact deduplication by a stateful stream with disk-backed keyed state (operator 4).
 
 Texts are equal when they are after each run of ASCII white space became one space. A first pass
-writes (row, doc_id, digest, locator) of each document to the shared folder; a structured stream
-over such rows keeps, for each digest, the stable identifier (least doc_id and row), the content
-locator of that document and the number of its copies. The state lives in RocksDB, without
+writes (row, doc_id, digest, locator) of each document to the shared folder, the locator being the
+file that holds it and its place there; a structured stream over such rows keeps, for each
+digest, the stable identifier (least doc_id and row), the content locator of that document and the
+number of its copies. The state lives in RocksDB, without
 watermark, so nothing ever expires, and later batches of the stream go on from it. Copies of one
 text within a batch are counted by partial aggregation before they are shuffled: a text with a
 third of all rows is one row from each task.
 
-A digest met again is a hit. On hits the full bytes are compared: the texts of all hits meet that
-of the document to which the locator leads, dealt over salts where a digest is very frequent. If
-any differ, the digest's documents are grouped by their bytes instead (`digest` may be any
+A digest met again is a hit. On hits the full bytes are compared: the texts of all hits, fetched by
+locator, meet that of the document to which the state's locator leads, dealt over salts where a digest
+is very frequent. If any differ, the digest's documents are grouped by their bytes instead (`digest` may be any
 function, tests use a colliding one; the result never depends on it).
 
+Documents that don't come straight from files are written to the shared folder first.
+
 Recovery: the stream's checkpoint, the first pass and the result are files in the shared folder.
 
 Edge cases: null counts as empty, so nulls and empty texts are one group. Where rows with equal
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,16 +77,36 @@ def state_of(spark: SparkSession, batches: str) -> DataFrame:
     return found.select("digest", "id", "row", "locator", "n")
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """(_row, _locator): the rows of docs as structs, with the file that holds each and its place there, unique and the same in every run."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    place = F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("_locator")
+    try:
+        if "_metadata" not in docs.columns:
+            return docs.select(whole, place)
+    except AnalysisException:  # not straight from files that number their rows
+        pass
+    return written(docs.select(whole), "contents").select("_row", place)
+
+
 def keys(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """(row, doc_id, digest, locator) of docs(doc_id, text)."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest(normalised(F.col("text"))).alias("digest"), F.input_file_name().alias("locator"))
+    return _keys(located(docs), digest)
+
+
+def _keys(places: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    return places.select(F.monotonically_increasing_id().alias("row"), F.col("_row.doc_id").cast("long").alias("doc_id"), digest(normalised(F.col("_row.text"))).alias("digest"), F.col("_locator").alias("locator"))
 
 
 def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """(row, doc_id, digest, keep_id, keep_row, group_size) for each document; bytes compared."""
+    """(row, doc_id, digest, locator, keep_id, keep_row, group_size) for each document; bytes compared."""
+    return _groups(located(docs), digest)
+
+
+def _groups(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     spark = docs.sparkSession
     base = shared_folder(spark, "dedup")
-    keys(docs, digest).write.parquet(f"{base}/keys")
+    _keys(docs, digest).write.parquet(f"{base}/keys")
     temporary(spark, base)
     session = spark.newSession()
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
@@ -96,32 +120,25 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
     state = state_of(spark, f"{base}/batches")
     hot = written(hot_counts(state, "digest"), "hot")
     rows = spark.read.schema(_KEYS).parquet(f"{base}/keys")
-    out = salted_join(rows.select("row", "doc_id", "digest"), state.select("digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("n").alias("group_size")), "digest", hot, F.col("row"))
-    out = written(out.withColumn("keep_id", F.when(F.col("keep_id") < _NONE, F.col("keep_id"))), "groups")
-    # Full bytes of all hits, and of the documents to which their locators lead.
-    hits = out.where("group_size > 1").select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("first")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
-    texts = written(_on_id(texts, hits), "hits")
-    firsts = texts.where("first").groupBy("digest").agg(F.min("text").alias("expected"))
-    differ = salted_join(texts.select("digest", "text", "doc_id"), firsts, "digest", hot, F.col("doc_id")).where("text <> expected").select("digest").distinct()
+    state = state.select("digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("locator").alias("keep_at"), F.col("n").alias("group_size"))
+    out = salted_join(rows, state, "digest", hot, F.col("row"))
+    out = written(out.withColumn("first", F.col("locator") == F.col("keep_at")).withColumn("keep_id", F.when(F.col("keep_id") < _NONE, F.col("keep_id"))).drop("keep_at"), "groups")
+    # Full bytes of all hits, and of the documents to which the state's locators lead.
+    hits = out.where("group_size > 1").select(F.col("locator").alias("_locator"), "digest", "doc_id", "row", "first")
+    texts = written(docs.select("_locator", normalised(F.col("_row.text")).alias("text")).join(hits, "_locator"), "hits")
+    firsts = texts.where("first").select("digest", F.col("text").alias("expected"))
+    differ = salted_join(texts.select("digest", "text", "row"), firsts, "digest", hot, F.col("row")).where("text <> expected").select("digest").distinct()
     differ = written(differ, "differ")
+    out = out.drop("first")
     if differ.isEmpty():
         return out
-    rest = texts.join(differ, "digest", "left_semi").select(F.coalesce("doc_id", F.lit(_NONE)).alias("id"), "digest", "text")
-    own = rest.groupBy("digest", "text").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    own = rest.join(own, ["digest", "text"]).select("id", "digest", "keep_id", "group_size").distinct()
-    clash = out.join(differ, "digest", "left_semi").withColumn("id", F.coalesce("doc_id", F.lit(_NONE))).drop("keep_id", "keep_row", "group_size").join(own, ["id", "digest"])
-    first = clash.where("id = keep_id").groupBy("digest", "keep_id").agg(F.min("row").alias("keep_row"))
-    clash = clash.join(first, ["digest", "keep_id"]).withColumn("keep_id", F.when(F.col("keep_id") < _NONE, F.col("keep_id"))).drop("id")
+    rest = texts.join(differ, "digest", "left_semi").select("row", "digest", "text", F.coalesce("doc_id", F.lit(_NONE)).alias("id"))
+    own = rest.groupBy("digest", "text").agg(F.min(F.struct("id", "row")).alias("k"), F.count("*").alias("group_size"))
+    own = rest.join(own, ["digest", "text"]).select("row", F.when(F.col("k.id") < _NONE, F.col("k.id")).alias("keep_id"), F.col("k.row").alias("keep_row"), "group_size")
+    clash = out.join(differ, "digest", "left_semi").drop("keep_id", "keep_row", "group_size").join(own, "row")
     return out.join(differ, "digest", "left_anti").unionByName(clash)
 
 
-def _on_id(texts: DataFrame, right: DataFrame) -> DataFrame:
-    """Join on (doc_id, digest), nulls being equal."""
-    fill = F.coalesce(F.col("doc_id"), F.lit(_NONE))
-    return texts.withColumn("_id", fill).join(right.withColumn("_id", fill).drop("doc_id"), ["_id", "digest"]).drop("_id")
-
-
 def marked(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest) for each document."""
     return groups(docs, digest).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest")
@@ -129,8 +146,6 @@ def marked(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    stays = groups(docs).where("row = keep_row").select(F.coalesce("doc_id", F.lit(_NONE)).alias("_id"), F.col("digest").alias("_digest"), F.col("group_size").alias("_n"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("_id"), sha256(normalised(F.col("text"))).alias("_digest"))
-    out = rows.join(stays, ["_id", "_digest"])
-    # Rows that repeat a doc_id with its text: one of them stays. The join has dealt rows by these keys already.
-    return out.groupBy("_id", "_digest").agg(F.first("_row").alias("_row")).select("_row.*")
+    places = located(docs)
+    stays = _groups(places, sha256).where("row = keep_row").select(F.col("locator").alias("_locator"))
+    return places.join(stays, "_locator", "left_semi").select("_row.*")
