@@ -8,7 +8,9 @@ seeded by its hash falls below the fraction.
 
 The draw is the hash of (seed, doc_id). Of SEEDS seeds each source takes the one whose taken words
 come nearest its target, all of which one aggregation sums; so a source with few, very uneven
-documents also comes near. A given seed's draw of a document depends on nothing else.
+documents also comes near. A given seed's draw of a document depends on nothing else and falls below
+the fraction with just that probability; choosing among seeds changes it the more, the fewer and the
+more uneven a source's documents are.
 
 Scale: texts are reduced to a word count in the scan, and nothing but (source, sums) is shuffled,
 after partial aggregation, so a source with a third of all rows is one row from each task. The
