@@ -47,15 +47,25 @@ def temporary(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back."""
+def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write df to the shared folder and read it back. paths: gets the folder, for `discard`."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
     temporary(spark, path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text in UTF-8: bytes.split() cuts at exactly the six ASCII white-space bytes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -265,21 +275,24 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     neighbours is no single task's work. Nodes without edges don't appear.
     """
     spark = edges.sparkSession
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    before: list[str] = []
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, before)
     for _ in range(rounds):
+        own: list[str] = []
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        least = written(least, name)
+        least = written(least, name, before)
         hot = hot_counts(least, "a")
         least = least.select("a", "m")
         large = salted_join(both, least, "a", hot, F.col("b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a <> b").distinct(), name)
-        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
+        large = written(large.where("a <> b").distinct(), name, before)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name, before)
         small = salted_join(large, least.select("a", "m"), "a", hot_counts(least, "a"), F.col("b"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        new = written(small.where("a <> b").distinct(), name)
+        new = written(small.where("a <> b").distinct(), name, own)
         sums = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first() for x in (now, new)]
-        now = new
+        discard(spark, before)
+        now, before = new, own
         if sums[0] == sums[1]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     raise RuntimeError(f"no end after {rounds} rounds")

@@ -48,12 +48,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import components, hot_counts, only, partitions, salted_join, slices, word_hashes, written
+from treeloom.llm.common import components, free_memory, hot_counts, only, partitions, salted_join, slices, word_hashes, written
 
 WIDTH = 5
 PIVOTS, PIVOT_CELL = 64, 64
-BLOCK_POSTINGS = 1 << 21
-LEAST_BLOCK, MOST_BLOCK = 64 << 10, 4 << 20
+BLOCK_POSTINGS = 1 << 20
+LEAST_BLOCK, MOST_BLOCK = 64 << 10, 2 << 20
+SLICE = 4 << 20
 _NONE = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,7 +223,7 @@ class Finder:
 def _signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("ngram_join")
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             found = [(len(s), tag_of(s)) for s in shingle_sets(part.column("text"))]
             n, tags = zip(*found, strict=True)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "tag": pa.array(tags, pa.binary()), "text_key": part.column("text_key")})
@@ -257,7 +258,7 @@ def _flat(column: pd.Series, kind: str) -> np.ndarray:
 
 def _first_posts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
     """(tag, the (25 + 15) % of shingles with the least hashes) of texts."""
-    for part in slices(batches):
+    for part in slices(batches, SLICE):
         for s in shingle_sets(part.column("text")):
             if n := len(s):
                 yield _short(tag_of(s)), s[: n - least_overlap(n) + _extra(n)]
@@ -331,7 +332,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("ngram_join")
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             sets = [(tag, s) for s, tag in zip(shingle_sets(part.column("text")), part.column("tag64").to_pylist(), strict=True) if _short(tag_of(s)) == tag]
             yield pa.RecordBatch.from_pydict({"tag64": pa.array([t for t, _ in sets], pa.int64()), "n": pa.array([len(s) for _, s in sets], pa.int64()), "tokens": pa.array([s.tobytes() for _, s in sets], pa.binary())})
 
@@ -458,7 +459,24 @@ def _compare(key: tuple, members: pd.DataFrame, pivots: pd.DataFrame) -> pd.Data
         own_tags.append(tag)
     for tag, _, _, others in found(members):
         links += [(tag, own_tags[m]) for _, m in others if own_tags[m] != tag]
-    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+    del finder
+    free_memory()
+    return _as_stars(links)
+
+
+def _as_stars(links: list[tuple[int, int]]) -> pd.DataFrame:
+    """Edges (a, b) that connect what the links connect, each with the least tag of its component, so that few rounds join them all."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return pd.DataFrame([(x, find(x)) for x in list(root) if find(x) != x], columns=["a", "b"]).astype("int64")
 
 
 def _pivot_links(sets: DataFrame, cells: DataFrame) -> DataFrame:
@@ -505,7 +523,9 @@ def _search(rows: pd.DataFrame) -> pd.DataFrame:
                 c = known[labels[k]] = finder.component()
             finder.add(ids, sizes[k], c)
             own_tags.append(tags[k])
-    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+    del finder
+    free_memory()
+    return _as_stars(links)
 
 
 def _cell_links(sets: DataFrame, cells: DataFrame, known: DataFrame) -> DataFrame:
