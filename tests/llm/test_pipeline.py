@@ -1,5 +1,6 @@
 """The pipeline against a plain version of itself, and its queries."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -38,6 +39,7 @@ def test_pipeline(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for r in frames[4].collect():
         assert r.ids == [1, *library.encode(rows[r.doc_id].text), 2] and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(r.ids).encode()).hexdigest()
     assert corpus_pipeline.run(spark, SMALL).count() == frames[4].count()
 
 
@@ -53,6 +55,20 @@ def test_an_empty_table_and_further_columns(spark):
         assert at.columns[-4:] == ["n", "digest", "ids", "a b"] and at.count()
 
 
+def test_rows_without_ids_stay(spark):
+    text = lambda n: " ".join(f"{n}w{i}" for i in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3) + " x"), (5, text(3) + " y"), (6, text(4)), (6, text(5)), (6, text(5) + " z"), (7, None), (8, text(1).upper())]
+    at = spark.createDataFrame([(d, "l", "s", t) for d, t in rows], "doc_id long, lang string, source string, text string")
+    counts = []
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        at = written(stage(spark, at, SMALL), name)
+        counts.append(sorted((str(r.doc_id), r.text.lower()) for r in at.collect()))
+    assert len(counts[0]) == 9 and len(counts[1]) == 8
+    # 1 with its capitals, 3 without id, and one of 6's near copies go.
+    kept = Counter(d for d, _ in counts[2])
+    assert kept == {"None": 1, "5": 1, "6": 2, "8": 1} and {t for d, t in counts[2] if d in ("None", "5", "8")} == {text(2), text(3) + " y", text(1)}
+
+
 def test_queries_against_sql(spark):
     import duckdb
 

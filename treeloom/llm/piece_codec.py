@@ -241,9 +241,9 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def encode_ids(docs: DataFrame, model: str) -> DataFrame:
-    """docs with `ids` (array of int, begin and end included) in place of a column of that name."""
-    kept = docs.drop(*(c for c in docs.columns if c.lower() == "ids"))
-    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    """docs with `ids` (array of int, begin and end included) and `decoded_sha256`, of the text that the ids decode to, in place of columns of these names."""
+    kept = docs.drop(*(c for c in docs.columns if c.lower() in ("ids", "decoded_sha256")))
+    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
     at = next(i for i, name in enumerate(kept.columns) if name.lower() == "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,6 +256,7 @@ def encode_ids(docs: DataFrame, model: str) -> DataFrame:
             own[offsets[:-1]] = own[offsets[1:] - 1] = False
             ids = np.empty(len(own), np.int32)
             ids[own], ids[offsets[:-1]], ids[offsets[1:] - 1] = flat, c.bos, c.eos
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=[*part.schema.names, "ids"])
+            decoded = [hashlib.sha256(c.decode(ids[a:b]).encode("utf-8")).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(decoded, pa.string())], names=[*part.schema.names, "ids", "decoded_sha256"])
 
     return kept.mapInArrow(run, schema)
