@@ -4,9 +4,9 @@ quality rules -> exact deduplication -> near duplicates -> mixture of sources ->
 Every stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and all but
 the last return the columns of documents.
 
-Edge cases are those of the operators: null texts count as empty and fail the quality rules; an
-empty table passes through all stages as an empty one; further columns of documents are carried
-to the mixture.
+Edge cases are those of the operators: null texts count as empty and fail the quality rules; rows
+without doc_id take part in every stage, a null being larger than all ids; an empty table passes
+through all stages as an empty one; further columns of documents are carried to the mixture.
 """
 
 from __future__ import annotations
@@ -44,9 +44,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, with begin and end ids."""
+    """Token ids of each row, with begin and end ids, and the digest of the text that they decode to."""
     ids = piece_codec.encode_ids(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return ids.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    return ids.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256")
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("exact_copies", exact_copies), ("near_copies", near_copies), ("mixture", mixture), ("pieces", pieces)]
