@@ -211,3 +211,20 @@ def test_detect_and_convert():
     with pytest.raises(DocumentError):
         registry.convert("[1]", "json", "toml")
     assert registry.format_text("b: 1\na: [1]\n---\n2\n", "yaml", sort=True) == "a:\n- 1\nb: 1\n---\n2\n"
+
+
+def test_yaml_readers_agree(monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab:- \n[]{},'\"#&*!|>%@`?0.1~\ttrue") for _ in range(rng.randrange(1, 24))) for _ in range(3000)]
+
+    def read(text):
+        try:
+            return repr(T.read_yaml_stream(text))
+        except DocumentError as error:
+            return error.message
+
+    fast = list(map(read, texts))
+    monkeypatch.setattr(T, "_Fast", None)
+    assert fast == list(map(read, texts))

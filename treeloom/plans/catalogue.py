@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeloom.functions import jq_columns, template
+from treeloom.functions import jq_columns, schema_columns, template
 from treeloom.functions.schema import Schema
 from treeloom.operators import bulk, frames
 from treeloom.plans import lint, report, rule_queries
@@ -472,7 +472,7 @@ def detect_format(spark, sf_dir):
 
 def _manifests(spark, sf_dir, form: str, text, path: str) -> DataFrame:
     d = table(spark, sf_dir, "supplier").select(F.concat(F.lit(f"{form}/"), F.col("s_suppkey").cast("string"), F.lit(f"/{path}")).alias("path"), text.cast("binary").alias("content"))
-    return registry.read_documents(d, form)
+    return registry.read_documents(d, form, spread=spark.sparkContext.defaultParallelism)
 
 
 def _counts(diagnostics: DataFrame, *ids: str) -> DataFrame:
@@ -497,7 +497,7 @@ SELECT 'npm.no-wildcard-deps' AS rule_id, 'error' AS severity, count(*) FILTER (
 UNION ALL SELECT 'npm.has-license', 'warn', count(*) FILTER (s_suppkey % 3 = 0) FROM supplier
 UNION ALL SELECT 'npm.has-engines', 'info', count(*) FROM supplier) WHERE n > 0""")
 def lint_npm(spark, sf_dir):
-    text = F.concat(F.lit('{"name":"x","dependencies":{"d":"'), F.when(F.col("s_suppkey") % 2 == 0, "*").otherwise("^1"), F.lit('"}'), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(',"license":"MIT"'), F.lit("}"))
+    text = F.concat(F.lit('{"name":"x","version":"1","dependencies":{"d":"'), F.when(F.col("s_suppkey") % 2 == 0, "*").otherwise("^1"), F.lit('"}'), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(',"license":"MIT"'), F.lit("}"))
     return _counts(lint.lint(_manifests(spark, sf_dir, "json", text, "package.json")), "npm.no-wildcard-deps", "npm.has-license", "npm.has-engines")
 
 
@@ -613,33 +613,21 @@ UNION ALL SELECT o_orderkey, '/o_orderkey', '/properties/o_orderkey/minimum' FRO
 UNION ALL SELECT o_orderkey, '/o_orderpriority', '/properties/o_orderpriority/pattern' FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-')""")
 def schema_validate_orders(spark, sf_dir):
     d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")).alias("json"))
-    return _schema_errors(d, _ORDER_SCHEMA)
-
-
-def _schema_errors(docs: DataFrame, schema: dict) -> DataFrame:
-    text = json.dumps(schema)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = Schema(parse_json(text))
-        for batch in batches:
-            rows = [(d, at, where) for d, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for at, where, _ in compiled.errors(parse_json(value))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "pointer", "keyword"])
-
-    return docs.mapInArrow(run, "doc_id long, pointer string, keyword string")
+    return schema_columns.errors(d, _ORDER_SCHEMA)
 
 
 @_query("SELECT l_orderkey AS doc_id, '/' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1) AS pointer FROM lineitem QUALIFY round(l_quantity * 10) % 30 <> 0")
 def schema_multiple_of(spark, sf_dir):
     d = orders_with_lines(spark, sf_dir, "l_quantity")
     docs = d.select(F.col("key").alias("doc_id"), F.to_json(F.transform("lines", lambda x: x["l_quantity"])).alias("json"))
-    return _schema_errors(docs, {"items": {"multipleOf": 3}}).select("doc_id", "pointer")
+    return schema_columns.errors(docs, {"items": {"multipleOf": 3}}).select("doc_id", "pointer")
 
 
 @_query("SELECT l_orderkey AS doc_id FROM lineitem GROUP BY 1 HAVING count(*) > count(DISTINCT l_returnflag)")
 def schema_unique_items(spark, sf_dir):
     d = orders_with_lines(spark, sf_dir, "l_returnflag")
     docs = d.select(F.col("key").alias("doc_id"), F.to_json(F.transform("lines", lambda x: x["l_returnflag"])).alias("json"))
-    return _schema_errors(docs, {"uniqueItems": True}).select("doc_id")
+    return schema_columns.errors(docs, {"uniqueItems": True}).select("doc_id")
 
 
 # Reports and the rest

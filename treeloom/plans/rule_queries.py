@@ -128,7 +128,7 @@ def _query(id_: str) -> Callable[[SparkSession, str], DataFrame]:
         texts = F.array(*(F.lit(t) for t, _ in shapes(id_)))
         text = F.element_at(texts, (F.col("s_suppkey") % len(shapes(id_)) + 1).cast("int"))
         s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("s/"), key, F.lit(f"/{name}")).alias("path"), text.cast("binary").alias("content"))
-        found = lint.lint(registry.read_documents(s, form), [_rule(id_)])
+        found = lint.lint(registry.read_documents(s, form, spread=spark.sparkContext.defaultParallelism), [_rule(id_)])
         return found.groupBy(F.regexp_extract("path", r"^s/(\d+)", 1).cast("long").alias("s_suppkey"), "rule_id", "severity").agg(F.count("*").alias("n"))
 
     return run

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,12 +111,13 @@ def format_text(text: str, form: str, sort: bool = False, indent: int = 2) -> st
 DOCUMENTS = "path string, format string, doc_idx int, json string, error_line int, error_col int, error string"
 
 
-def read_documents(files: DataFrame, form: str | None = None, positions: bool = False) -> DataFrame:
+def read_documents(files: DataFrame, form: str | None = None, positions: bool = False, spread: int | None = None) -> DataFrame:
     """Rows of DOCUMENTS from files(path, content): one for each document, or one with an error.
 
     content is text or bytes; UTF-16 is told by its mark. form overrides detection. positions adds
     `spans`, for JSON and YAML: a JSON map from pointer to [line, column]. Files are read in tasks,
-    one by one; nothing is shuffled.
+    one by one; nothing is shuffled, unless spread asks for so many partitions, by path: for few
+    partitions of many small files whose reading and linting cost more than sending them.
     """
     from treeloom.sources.spans import spans_of
 
@@ -142,12 +144,27 @@ def read_documents(files: DataFrame, form: str | None = None, positions: bool =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: len(names)], names=names)
 
     schema = DOCUMENTS + ", spans string" * positions
-    return files.select(F.col(files.columns[0]).cast("string"), F.col(files.columns[1]).cast("binary")).mapInArrow(run, schema)
+    rows = files.select(F.col(files.columns[0]).cast("string").alias("path"), F.col(files.columns[1]).cast("binary").alias("content"))
+    return (rows.repartition(spread, "path") if spread else rows).mapInArrow(run, schema)
 
 
 def read_files(spark: SparkSession, paths: str | list[str], form: str | None = None) -> DataFrame:
-    """Documents of the files that globs name; parts of the pattern prune the listing."""
-    return read_documents(spark.read.format("binaryFile").load(paths).select("path", "content"), form)
+    """Documents of the files that globs name; parts of the pattern prune the listing.
+
+    A pattern with ** names the files at any depth below what comes before it whose paths fit the rest.
+    """
+    from treeloom.plans.lint import glob_pattern
+
+    patterns = [paths] if isinstance(paths, str) else paths
+    plain = [p for p in patterns if "**" not in p]
+    found = [spark.read.format("binaryFile").load(plain)] if plain else []
+    for p in patterns:
+        if "**" in p:
+            base = p[: p.index("**")].rstrip("/") or "."
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+            found.append(files.where(F.col("path").rlike("(?:^|/)" + glob_pattern(p.split("://", 1)[-1].lstrip("./"))[1:])))
+    files = reduce(DataFrame.unionByName, found)
+    return read_documents(files.select("path", "content"), form)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -43,6 +43,8 @@ class _Loader(yaml.SafeLoader):
     pass
 
 
+#: The same over the C library, where it is there; it has no say in what is an error, and none in places.
+_Fast = type("_Fast", (yaml.CSafeLoader,), {}) if yaml.__with_libyaml__ else None
 _Loader.yaml_implicit_resolvers = {}
 for _tag, _pattern, _first in (
     ("null", r"(?:~|null|Null|NULL|)$", ["~", "n", "N", ""]),
@@ -51,6 +53,8 @@ for _tag, _pattern, _first in (
     ("float", r"[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?$|[-+]?\.(?:inf|Inf|INF)$|\.(?:nan|NaN|NAN)$", list("-+0123456789.")),
 ):
     _Loader.add_implicit_resolver(f"tag:yaml.org,2002:{_tag}", re.compile(_pattern), _first)
+if _Fast:
+    _Fast.yaml_implicit_resolvers = _Loader.yaml_implicit_resolvers
 
 
 def _scalar(node: yaml.ScalarNode) -> object:
@@ -105,6 +109,14 @@ def _built(node: yaml.Node, at: str, spans: dict | None, depth: int = 0) -> obje
 
 def read_yaml_stream(text: str, spans: list | None = None) -> list:
     """All documents of a stream. spans: gets a map from pointer to (line, column, start, end) for each."""
+    if spans is None and _Fast and not re.search(r"[\0\t!]|\?[^\s]|[|>][-+0-9]*#", text):
+        try:
+            loader, out = _Fast(text.removeprefix("\ufeff")), []
+            while loader.check_node():
+                out.append(_built(loader.get_node(), "", None))
+            return out or [None]
+        except (yaml.YAMLError, UnicodeError):
+            pass  # read again for the message and the place
     loader = _Loader(text.removeprefix("\ufeff"))
     out = []
     try:
