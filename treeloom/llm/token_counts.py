@@ -4,7 +4,8 @@ A text's pre-tokens lie in blocks, and a segment tree over the blocks sums their
 tokens. An edit finds its place by descending the tree, cuts the text anew from two pre-tokens
 before it until a cut falls on one that was there before, at or behind the edit's end (cutting
 looks ahead only, so all later cuts stay), encodes only these pre-tokens and updates the sums on
-their path. The count afterwards is the root's.
+their path. Blocks take up to four times their first size before the tree gets more of them. The
+count afterwards is the root's.
 
 A row depends on its own text alone: no shuffle, and one tree at a time is in memory. Counts of
 pre-tokens are kept, at most MOST_KNOWN, then begun anew.
@@ -188,12 +189,15 @@ class CountedText:
         self.n_encoded += len(fresh)
         tail = self.blocks[rest_last][rest_at:]
         parts = head + fresh + tail
-        new_blocks = [parts[i : i + BLOCK] for i in range(0, len(parts), BLOCK)] if len(parts) > 2 * BLOCK else [parts]
-        if len(new_blocks) == rest_last - first + 1:
-            for b, block in zip(range(first, rest_last + 1), new_blocks, strict=True):
-                self.blocks[b], self.sums[b] = block, self._sum(block)
-                self._update(b)
-        else:
+        n = rest_last - first + 1
+        if len(parts) <= 4 * BLOCK * n:  # the same blocks hold them, maybe some of them nothing
+            size = -(-len(parts) // n)
+            for i in range(n):
+                block = parts[i * size : (i + 1) * size]
+                self.blocks[first + i], self.sums[first + i] = block, self._sum(block)
+                self._update(first + i)
+        else:  # full: more blocks, which is rare, as each then takes many more
+            new_blocks = [parts[i : i + BLOCK] for i in range(0, len(parts), BLOCK)]
             self.blocks[first : rest_last + 1] = new_blocks
             self.sums[first : rest_last + 1] = [self._sum(b) for b in new_blocks]
             self._build()
