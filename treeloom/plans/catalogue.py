@@ -6,12 +6,12 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.functions import jq_columns, schema_columns, template
 from treeloom.functions.schema import Schema
-from treeloom.operators import bulk, frames
+from treeloom.operators import bulk, frames, relations
 from treeloom.plans import lint, report, rule_queries
 from treeloom.plans.cases import CASES
 from treeloom.plans.udtf import EventLint
@@ -382,7 +382,7 @@ def bulk_summary(spark, sf_dir):
 @_query("SELECT n_name AS name, n_regionkey::VARCHAR AS n_regionkey, NULL::VARCHAR AS r_regionkey FROM nation UNION ALL SELECT r_name, NULL, r_regionkey::VARCHAR FROM region")
 def csv_header_union(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string"))
-    return n.unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("string")), allowMissingColumns=True)
+    return relations.header_union([n, table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("string"))])
 
 
 # Formats: each row of nation is written as a document and read back
@@ -551,56 +551,58 @@ def lint_github_actions(spark, sf_dir):
     return _counts(lint.lint(_manifests(spark, sf_dir, "yaml", text, ".github/workflows/w.yml")), "github-actions.action-pinned-by-sha", "github-actions.has-timeout")
 
 
+@_query("""
+WITH f AS (SELECT s_suppkey, unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['error', 'warn', 'info'] ELSE ['warn', 'info'] END) AS severity FROM supplier)
+SELECT CASE WHEN grouping(space) = 0 THEN 'npm' END AS namespace, severity, count(*) AS n, count(DISTINCT s_suppkey) AS n_files FROM (SELECT *, 'npm' AS space FROM f) GROUP BY CUBE (space, severity)""")
+def report_totals(spark, sf_dir):
+    text = F.concat(F.lit('{"name":"x","version":"1","dependencies":{"d":"'), F.when(F.col("s_suppkey") % 2 == 0, "*").otherwise("^1"), F.lit('"},"repository":"r"}'))
+    return report.totals(lint.lint(_manifests(spark, sf_dir, "json", text, "package.json"), lint.resolve(["@std/npm"], []))).drop("n_files_near")
+
+
 @_query("SELECT conv_id, turn FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1")
 def lint_single_first(spark, sf_dir):
     """The plan of `single-h1`: second and later of a kind in a document."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn")
-    return c.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("n > 1").drop("n")
+    return relations.later(c, ["conv_id"], ["turn"])
 
 
 @_query("SELECT conv_id, turn, gap FROM (SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS gap FROM conversations WHERE role = 'user') WHERE gap > 1")
 def lint_order_lag(spark, sf_dir):
     """The plan of `heading-order`: a level beside the one before."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return c.select("conv_id", "turn", (F.col("turn") - F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))).alias("gap")).where("gap > 1")
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn")
+    return relations.steps(c, ["conv_id"], ["turn"], F.col("turn")).where("gap > 1")
 
 
 @_query("SELECT user_id, event_id, gap FROM (SELECT user_id, event_id, (floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS gap FROM events) WHERE gap > 86400")
 def lint_gap_lag(spark, sf_dir):
     """The plan of `no-multiple-blank-lines`: the distance from the block before."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_timestamp("ts") - F.lag(F.unix_timestamp("ts")).over(w)).alias("gap"))
-    return e.where("gap > 86400")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    return relations.steps(e, ["user_id"], ["ts", "event_id"], F.unix_timestamp("ts")).where("gap > 86400").drop("ts")
 
 
 @_query("SELECT doc_id, field FROM documents, (VALUES ('quality'), ('toxic')) f(field) WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def lint_required_fields(spark, sf_dir):
     """The plan of `frontmatter-required-fields`: required names less those that are there."""
-    names = F.array(F.lit("quality"), F.lit("toxic"))
-    there = table(spark, sf_dir, "labels").select("doc_id", F.array_compact(F.array(F.when(F.col("quality").isNotNull(), F.lit("quality")), F.when(F.col("toxic").isNotNull(), F.lit("toxic")))).alias("has"))
-    d = table(spark, sf_dir, "documents").select("doc_id").join(there, "doc_id", "left")
-    return d.select("doc_id", F.explode(F.array_except(names, F.coalesce("has", F.array().cast("array<string>")))).alias("field"))
+    return relations.missing_names(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"])
 
 
 @_query("SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
 def lint_unique_ids(spark, sf_dir):
     """The plan of `operation-id-unique`."""
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("value")).agg(F.count("*").alias("n")).where("n > 1")
+    return relations.repeated(table(spark, sf_dir, "customer"), "c_mktsegment")
 
 
 @_query("SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, list_contains(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), role) AS seen FROM conversations) WHERE seen")
 def lint_prior_alias_frame(spark, sf_dir):
     """The plan of `no-latest-base-image`: what all earlier rows named."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    c = table(spark, sf_dir, "conversations").withColumn("earlier", F.collect_set("role").over(w))
-    return c.where(F.array_contains("earlier", F.col("role"))).select("conv_id", "turn", "role")
+    return relations.named_before(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "role", ["turn"])
 
 
 @_query("SELECT s_suppkey, s_nationkey FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey > 1) ON s_nationkey = n_nationkey WHERE n_nationkey IS NULL")
 def lint_left_join_pin(spark, sf_dir):
     """The plan of `provider-pinned`: a left join with what pins."""
     pins = table(spark, sf_dir, "nation").where("n_regionkey > 1").select(F.col("n_nationkey").alias("s_nationkey"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(pins, "s_nationkey", "left_anti").select("s_suppkey", "s_nationkey")
+    return relations.without(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), pins, "s_nationkey").select("s_suppkey", "s_nationkey")
 
 
 _ORDER_SCHEMA = {"type": "object", "required": ["o_orderkey", "o_totalprice"], "properties": {"o_orderkey": {"type": "integer", "minimum": 1}, "o_orderstatus": {"enum": ["F", "O"]}, "o_totalprice": {"type": "number", "maximum": 400000}, "o_orderpriority": {"type": "string", "pattern": "^[1-4]-"}}}
