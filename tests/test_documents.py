@@ -73,6 +73,14 @@ def test_patch():
     assert P.read_patch_lines("# c\nadd /x [1]\nremove /a\nmove /b /c\n") == [{"op": "add", "path": "/x", "value": [1]}, {"op": "remove", "path": "/a"}, {"op": "move", "path": "/c", "from": "/b"}]
 
 
+def test_original_pointers():
+    value = {"a": [{"n": 0}, {"n": 1}, {"n": 2}], "b": 1}
+    ops = [{"op": "remove", "path": "/a/0"}, {"op": "replace", "path": "/a/1/n", "value": 5}, {"op": "add", "path": "/a/0", "value": {"n": 9}}, {"op": "replace", "path": "/a/0/n", "value": 8}, {"op": "test", "path": "/a/1/n", "value": 1}, {"op": "move", "from": "/a/2", "path": "/c"}, {"op": "remove", "path": "/c/n"}, {"op": "add", "path": "/b", "value": 2}, {"op": "copy", "from": "/a/1", "path": "/a/-"}, {"op": "remove", "path": "/a/2/n"}]
+    assert P.original_pointers(value, ops) == ["/a/0", "/a/2/n", None, None, "/a/1/n", "/a/2", "/a/2/n", "/b", "/a/1", "/a/1/n"] and P.apply_patch(value, ops)
+    with pytest.raises(DocumentError):
+        P.original_pointers(value, [{"op": "remove", "path": "/a/7"}])
+
+
 def test_merge():
     assert P.merge({"a": {"b": 1, "c": 2}, "d": 3}, {"a": {"b": None, "e": {"f": None, "g": 1}}, "d": [None]}) == {"a": {"c": 2, "e": {"g": 1}}, "d": [None]}
     assert P.merge(1, {"a": None, "b": 2}) == {"b": 2} and P.merge({"a": 1}, 5) == 5

@@ -63,3 +63,25 @@ def test_malformed_documents(spark):
     n = frames.nodes(d)
     assert [r.doc_id for r in frames.errors(n).collect()] == [1] and [(r.doc_id, r.pointer) for r in frames.paths(n).orderBy("pointer").collect()] == [(3, ""), (3, "/0")]
     assert [r.num for r in n.where("pointer = '/0'").collect()] == [float("inf")] and [r.doc_id for r in frames.rebuild(n).collect()] == [3]
+
+
+def test_suggestions(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 3, 6, 38, 39, 40, 41, 42, 43, 60])))
+    keys = {word() for _ in range(60)}
+    keys |= {k[:i] + k[i + 1 :] + rng.choice(["", "a"]) for k in list(keys) for i in range(0, len(k), 9)}
+    asked = rng.sample(sorted(keys), 40) + ["abab", ""]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    d = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} string")
+    found = {(r.missing, r["rank"]): (r.distance, r.key) for r in frames.suggestions(d(sorted(keys), "key"), d(sorted(set(asked)), "missing")).collect()}
+    near = {m: sorted((distance(m, k), k) for k in keys if distance(m, k) <= 2)[:3] for m in set(asked)}
+    expected = {(m, n): x for m, own in near.items() for n, x in enumerate(own, 1)}
+    assert found == expected

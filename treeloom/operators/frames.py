@@ -15,6 +15,7 @@ from treeloom import pointer as P
 from treeloom.functions import jsonpath
 from treeloom.values import DocumentError, is_number, number_text, parse_json, sorted_keys, to_json, type_name
 
+LONG_NAME = 40
 NODES = "doc_id long, pointer string, parent string, key string, idx int, ord int, depth int, type string, str string, num_literal string, num double, bool boolean, n_children int"
 
 
@@ -177,12 +178,28 @@ def paths(table: DataFrame) -> DataFrame:
 
 
 def suggestions(known: DataFrame, missing: DataFrame, most: int = 3) -> DataFrame:
-    """(missing, rank, key): at most three keys within two edits, by distance and name.
+    """(missing, rank, key, distance): at most three keys within two edits, by distance and name.
 
-    known(key) is a document's keys; lengths that differ by more than two never meet.
+    known(key) is a document's keys. Names within two edits have a form in common that each becomes by
+    leaving out at most two characters, so they meet in a join on these forms, whose number grows with
+    the square of a name's length; names of more than LONG_NAME characters meet those of near length.
     """
-    spread = missing.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(0), F.length("missing") - 2), F.length("missing") + 2)))
-    near = spread.join(known.withColumn("size", F.length("key")), "size").withColumn("distance", F.levenshtein("missing", "key")).where("distance <= 2")
+    def shorter(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1, F.length(c))))
+
+    def forms(c: Column) -> tuple[Column, Column]:
+        once = F.when(F.length(c) > 0, shorter(c)).otherwise(F.array().cast("array<string>"))
+        twice = F.flatten(F.transform(F.filter(once, lambda x: F.length(x) > 0), shorter))
+        every = F.array_distinct(F.concat(F.array(c), once, twice))
+        long = F.transform(F.sequence(F.length(c) - 2, F.length(c) + 2), lambda n: F.concat(F.lit("\0"), n.cast("string")))
+        return F.when(F.length(c) <= LONG_NAME + 2, every).otherwise(F.array().cast("array<string>")), F.when(F.length(c) > LONG_NAME, long).otherwise(F.array().cast("array<string>"))
+
+    short, long = forms(F.col("missing"))
+    spread = missing.select("missing", F.explode(F.concat(short, long)).alias("form"))
+    short, long = forms(F.col("key"))
+    own = F.when(F.length("key") > LONG_NAME - 2, F.array(F.concat(F.lit("\0"), F.length("key").cast("string")))).otherwise(F.array().cast("array<string>"))
+    forms_of = known.select("key", F.explode(F.concat(short, own)).alias("form"))
+    near = spread.join(forms_of, "form").select("missing", "key").distinct().withColumn("distance", F.levenshtein("missing", "key")).where("distance <= 2")
     order = Window.partitionBy("missing").orderBy("distance", "key")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("missing", "rank", "key", "distance")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.sources.text_formats import flow_yaml, write_toml, write_yaml
@@ -100,12 +100,14 @@ def tap_lines(diagnostics: DataFrame) -> DataFrame:
 def sarif_results(diagnostics: DataFrame) -> DataFrame:
     """(n, result as JSON) natively; ruleIndex by the rule's first place."""
     rows = _number(diagnostics)
+    from treeloom.operators.frames import numbered
+
     first = rows.groupBy("rule_id").agg(F.min("n").alias("first"))
-    first = first.withColumn("rule_index", F.row_number().over(Window.orderBy("first")) - 1)  # as many rows as there are rules
+    first = numbered(first, ["first"], "k").select("rule_id", (F.col("k") - 1).cast("int").alias("rule_index"))
     level: Column = F.coalesce(*(F.when(F.col("severity") == s, F.lit(v)) for s, v in LEVELS.items()))
     place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn")).alias("region")).alias("physicalLocation"))
     body = F.struct(F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))
-    return rows.join(F.broadcast(first), "rule_id").select("n", F.to_json(body).alias("result"))
+    return rows.join(first, "rule_id").select("n", F.to_json(body).alias("result"))
 
 
 def json_lines(diagnostics: DataFrame) -> DataFrame:

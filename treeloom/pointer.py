@@ -283,6 +283,98 @@ def apply_patch(value: object, ops: list[dict]) -> object:
     return value
 
 
+class _Place:
+    """Where a value stood in the document at first; None for one that a patch brought."""
+
+    __slots__ = ("at", "inner")
+
+    def __init__(self, value: object, at: str | None) -> None:
+        below = lambda k: None if at is None else f"{at}/{escape(k) if isinstance(k, str) else k}"
+        self.at = at
+        self.inner: dict | list | None = {k: _Place(v, below(k)) for k, v in value.items()} if isinstance(value, dict) else [_Place(v, below(i)) for i, v in enumerate(value)] if isinstance(value, list) else None
+
+    def copy(self) -> _Place:
+        out = _Place(None, self.at)
+        out.inner = {k: v.copy() for k, v in self.inner.items()} if isinstance(self.inner, dict) else [v.copy() for v in self.inner] if isinstance(self.inner, list) else None
+        return out
+
+
+def original_pointers(value: object, ops: list[dict]) -> list[str | None]:
+    """For each operation of a patch the pointer that its target has in value, before the patch; None for a target that the patch itself makes.
+
+    Insertions and removals before it shift an item's index, and moves take it elsewhere: the patch is
+    run over a tree of places, where each node knows its first pointer. For move and copy the target
+    is what is moved or copied. Operations that don't apply raise, as in `apply_patch`.
+    """
+    root, out = _Place(value, ""), []
+
+    def holder(pointer: str) -> tuple[_Place, str]:
+        parts = parse(pointer)
+        here = root
+        for part in parts[:-1]:
+            here = step(here, part, pointer)
+        return here, parts[-1]
+
+    def step(here: _Place, part: str, pointer: str) -> _Place:
+        i = index_of(part) if isinstance(here.inner, list) else part if isinstance(here.inner, dict) and part in here.inner else None
+        if i is None or isinstance(here.inner, list) and i >= len(here.inner):
+            raise DocumentError("path", f"no {pointer}")
+        return here.inner[i]
+
+    def take(pointer: str) -> _Place:
+        here, part = holder(pointer)
+        found = step(here, part, pointer)
+        del here.inner[part if isinstance(here.inner, dict) else int(part)]
+        return found
+
+    def put(pointer: str, place: _Place) -> None:
+        here, part = holder(pointer)
+        if isinstance(here.inner, dict):
+            here.inner[part] = place
+        elif isinstance(here.inner, list) and (part == "-" or (index_of(part) or 0) <= len(here.inner) and index_of(part) is not None):
+            here.inner.insert(len(here.inner) if part == "-" else int(part), place)
+        else:
+            raise DocumentError("path", f"no {pointer}")
+
+    def at(pointer: str) -> _Place:
+        here = root
+        for part in parse(pointer):
+            here = step(here, part, pointer)
+        return here
+
+    for op in read_patch(ops):
+        name, path = op["op"], op["path"]
+        if name in ("move", "copy"):
+            place = at(op["from"])
+            out.append(place.at)
+            if name == "move" and path == op["from"]:
+                continue
+            place = take(op["from"]) if name == "move" else place.copy()
+        elif name == "add":
+            place = _Place(op["value"], None)
+            try:
+                found = at(path)
+                out.append(found.at if path == "" or isinstance(holder(path)[0].inner, dict) else None)
+            except DocumentError:
+                out.append(None)
+        else:
+            place = at(path)
+            out.append(place.at)
+            if name == "test":
+                continue
+            if name == "remove":
+                take(path)
+                continue
+            new = _Place(op["value"], None)
+            place.inner = new.inner
+            continue
+        if path:
+            put(path, place)
+        else:
+            root = place
+    return out
+
+
 def rebased(ops: list[dict], under: str) -> list[dict]:
     """The operations for the document that holds this one at `under`."""
     return [{k: under + v if k in ("path", "from") else v for k, v in op.items()} for op in ops]
