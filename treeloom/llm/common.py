@@ -277,27 +277,36 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     spark = edges.sparkSession
     before: list[str] = []
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, before)
+    sums = _edge_sums(now)
     for _ in range(rounds):
+        # A round's tables have about as many rows as there are edges; few edges take few tasks and files.
+        parts = max(8, sums[0] // 100_000)
+        fit = lambda df, parts=parts: df.coalesce(parts) if parts < partitions(spark) else df
         own: list[str] = []
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        least = written(least, name, before)
+        least = written(fit(least), name, before)
         hot = hot_counts(least, "a")
         least = least.select("a", "m")
         large = salted_join(both, least, "a", hot, F.col("b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a <> b").distinct(), name, before)
-        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name, before)
+        large = written(fit(large.where("a <> b").distinct()), name, before)
+        least = written(fit(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))), name, before)
         small = salted_join(large, least.select("a", "m"), "a", hot_counts(least, "a"), F.col("b"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        new = written(small.where("a <> b").distinct(), name, own)
-        sums = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first() for x in (now, new)]
+        new = written(fit(small.where("a <> b").distinct()), name, own)
+        old, sums = sums, _edge_sums(new)
         discard(spark, before)
         now, before = new, own
-        if sums[0] == sums[1]:
+        if old == sums:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
+def _edge_sums(edges: DataFrame) -> tuple:
+    """(number of edges, sum of their hashes): equal for equal tables."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+
 def ranked(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """rows with `name`, 0, 1, 2 ... in the order of columns: prefix sums over range partitions, whose counts alone reach the driver."""
     dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked")
