@@ -1,5 +1,7 @@
 """Bulk edits, template guard, positions, streams of files."""
 
+import json
+
 import pytest
 
 from treeloom.operators import bulk
@@ -70,3 +72,23 @@ def test_files_as_they_arrive(spark, tmp_path):
         (folder / "Dockerfile").write_text(text)
         lint_stream.watch_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), lint.resolve(["@std/dockerfile"], [])).awaitTermination()
     assert [r.rule_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["dockerfile.no-latest-base-image"]
+
+
+def test_conversion_in_place(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("x: 1\n---\ny: 2\n")
+    (tmp_path / "b.json").write_text('{"x":1}')
+    files = spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("regexp_extract(path, '[^/]*$', 0) AS path", "content")
+    out = bulk.convert_files(files, "json")
+    assert bulk.write_files(out, str(tmp_path), backup=True, replace=True).count() == 2
+    assert json.loads((tmp_path / "a.json").read_text()) == [{"x": 1}, {"y": 2}] and sorted(p.name for p in tmp_path.iterdir()) == ["a.json", "a.yaml.bak", "b.json", "b.json.bak"]
+
+
+def test_plugin_fixes(spark):
+    def lint(document):
+        if document.root.get("k", 0) > 50:
+            yield "x", "warn", "large", "/k"
+
+    files = spark.createDataFrame([("a.json", b'{"k": 60}'), ("b.json", b'{"k": 5}'), ("c.json", b'{"k": 90, "s": true}')], "path string, content binary")
+    fix = lambda document: [] if document.root.get("s") else [{"op": "replace", "path": "/k", "value": 50}]
+    out = {r.path: (r.status, r.content) for r in bulk.edit_files(files, {"kind": "plugin", "lint": lint, "fix": fix}).collect()}
+    assert {k: v[0] for k, v in out.items()} == {"a.json": "changed", "b.json": "unchanged", "c.json": "unchanged"} and json.loads(out["a.json"][1]) == {"k": 50}

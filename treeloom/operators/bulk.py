@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from treeloom import pointer as P
 from treeloom.functions import jq
-from treeloom.plans import lint, report
+from treeloom.plans import lint, report, udtf
 from treeloom.sources import registry
 from treeloom.sources import text_formats as T
 from treeloom.sources.guard import guarded
@@ -44,6 +44,8 @@ def _edited(value: object, edit: dict, form: str, path: str) -> object:
         return outputs[0]
     if kind == "fix":
         return lint.fix_value(value, form, path, lint.resolve(edit.get("rules"), [form]))[0]
+    if kind == "plugin":
+        return udtf.fixed_value(value, edit["lint"], edit["fix"], form)
     if kind == "fmt":
         return sorted_keys(value) if edit.get("sort_keys") else value
     raise DocumentError("usage", f"unknown edit {kind}")
@@ -124,8 +126,8 @@ def edit_files(files: DataFrame, edit: dict, form: str | None = None) -> DataFra
 
 
 def convert_files(files: DataFrame, target: str, form: str | None = None) -> DataFrame:
-    """RESULTS with the target's extension in place of the file's own."""
-    out = edit_files(files, {"kind": "fmt", "to": target}, form)
+    """RESULTS with the target's extension in place of the file's own, and `source`, the file's own path."""
+    out = edit_files(files, {"kind": "fmt", "to": target}, form).withColumn("source", F.col("path"))
     return out.withColumn("path", F.regexp_replace("path", r"\.[^./]*$", "." + registry.EXTENSIONS.get(target, (target,))[0]))
 
 
@@ -142,16 +144,26 @@ def write_atomically(path: str, text: str, backup: bool = False) -> None:
     os.replace(out.name, path)
 
 
-def write_files(results: DataFrame, root: str, backup: bool = False) -> DataFrame:
-    """Write what changed below root, a folder that all tasks reach; (path, status) of each file."""
+def write_files(results: DataFrame, root: str, backup: bool = False, replace: bool = False) -> DataFrame:
+    """Write what changed below root, a folder that all tasks reach; (path, status) of each file.
+
+    replace: a converted file takes the place of its source, which goes once the new one is whole; with
+    backup it stays as .bak. A task that runs again finds the new file there and writes the same.
+    """
+    source = F.col("source") if replace and "source" in results.columns else F.lit(None).cast("string").alias("source")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, status, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for path, status, text, old in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if status == "changed":
                     full = os.path.join(root, path)
                     os.makedirs(os.path.dirname(full), exist_ok=True)
                     write_atomically(full, text, backup)
+                    if old is not None and old != path and os.path.exists(gone := os.path.join(root, old)):
+                        if backup:
+                            os.replace(gone, gone + ".bak")
+                        else:
+                            os.remove(gone)
             yield batch.select(["path", "status"])
 
-    return results.select("path", "status", "content").mapInArrow(run, "path string, status string")
+    return results.select("path", "status", "content", source).mapInArrow(run, "path string, status string")

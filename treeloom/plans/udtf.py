@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql.functions import udtf
 
 from treeloom.functions import jq
-from treeloom.pointer import apply_patch, get
+from treeloom.pointer import apply_patch, get, read_patch
 from treeloom.values import DocumentError, parse_json
 
 COLUMNS = "rule_id string, severity string, message string, pointer string"
@@ -16,8 +16,8 @@ COLUMNS = "rule_id string, severity string, message string, pointer string"
 class Document:
     """What a plugin may ask of a document."""
 
-    def __init__(self, text: str, form: str = "json") -> None:
-        self.root, self.form = parse_json(text), form
+    def __init__(self, text: str | None, form: str = "json", root: object = None) -> None:
+        self.root, self.form = root if text is None else parse_json(text), form
 
     def get_at(self, pointer: str) -> object:
         return get(self.root, pointer)
@@ -44,9 +44,16 @@ def plugin(lint: Callable[[Document], Iterator[tuple[str, str, str, str]]]):
     return udtf(Plugin, returnType=COLUMNS)
 
 
-def fixed(document: Document, patch: list[dict]) -> object:
-    """A plugin's fix is a patch of the document."""
-    return apply_patch(document.root, patch)
+def fixed_value(value: object, lint: Callable, fix: Callable[[Document], list[dict]], form: str = "json") -> object:
+    """value after a plugin's fix, a patch, which counts only if the plugin then finds nothing more."""
+    document = Document(None, form, value)
+    try:
+        if not list(lint(document)):
+            return value
+        new = apply_patch(value, read_patch(fix(document)))
+        return value if list(lint(Document(None, form, new))) else new
+    except jq.JqError as error:
+        raise DocumentError("runtime", str(error)) from None
 
 
 def _large_k(document: Document) -> Iterator[tuple[str, str, str, str]]:
