@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from treeloom.functions import jq_columns, schema_columns, template
 from treeloom.functions.schema import Schema
 from treeloom.operators import bulk, frames, relations
-from treeloom.plans import lint, report, rule_queries
+from treeloom.plans import lint, more_queries, report, rule_queries
 from treeloom.plans.cases import CASES
 from treeloom.plans.udtf import EventLint
 from treeloom.sources import registry
@@ -753,5 +753,5 @@ def jq_cases(spark, sf_dir):
     return rows.mapInArrow(run, "n int, outputs string")
 
 
-QUERIES |= rule_queries.QUERIES
-ORACLES |= rule_queries.ORACLES
+QUERIES |= rule_queries.QUERIES | more_queries.QUERIES
+ORACLES |= rule_queries.ORACLES | more_queries.ORACLES
