@@ -43,7 +43,7 @@ VOCABULARY = CLASSES * CLASSES
 OWN = VOCABULARY - CLASSES
 BORDER = VOCABULARY
 RATE, LEAST_BATCH, MOST_BATCH = 0.1, 512, 4096
-BLOCK, SLICE = 1 << 20, 1 << 12
+BLOCK, SLICE = 1 << 19, 1 << 12
 SALTS, CHUNKS = 32, 8
 SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "scale": (len(PLACES), WIDTH), "bias": (WIDTH,), "class": (WIDTH, CLASSES), "class_bias": (CLASSES,), "word": (CLASSES, WIDTH, CLASSES), "word_bias": (CLASSES, CLASSES)}
 _BLOCKS = "block long, n_own long, doc_ids binary, nulls binary, lengths binary, tokens binary, own binary"
@@ -275,33 +275,29 @@ def _trained(blocks: DataFrame, vocabulary: np.ndarray, seed: int) -> np.ndarray
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = start(seed)
         memory = {name: np.full(shape, 1e-6, np.float32) for name, shape in SHAPES.items()}
-        around: list[np.ndarray] = []
-        targets: list[np.ndarray] = []
-        waiting = total = 0
-        size = LEAST_BATCH
+        around, targets = np.empty((0, len(PLACES)), np.int64), np.empty(0, np.int64)  # fewer words than a batch
+        total, last, size = 0, 0, LEAST_BATCH
         for part in rows_of(batches):
             for lengths, tokens, own in zip(part["lengths"], part["tokens"], part["own"], strict=True):
                 lengths = np.frombuffer(lengths, "<i8")
                 ids = numbered(np.frombuffer(own, "<u8"), vocabulary)[np.frombuffer(tokens, "<u4")]
                 padded, at = _bordered(ids, lengths)
-                around.append(padded[at[:, None] + PLACES])
-                targets.append(ids)
-                waiting += len(at)
-                if waiting >= size:
-                    a, t = np.concatenate(around), np.concatenate(targets)
-                    done = 0
-                    while len(t) - done >= size:
-                        step(net, memory, a[done : done + size], t[done : done + size])
-                        done, total = done + size, total + size
+                done = 0
+                while done < len(at):
+                    here = slice(done, done + size - len(targets))
+                    done = min(here.stop, len(at))
+                    around, targets = np.concatenate([around, padded[at[here, None] + PLACES]]), np.concatenate([targets, ids[here]])
+                    if len(targets) == size:
+                        step(net, memory, around, targets)
+                        around, targets, total = around[:0], targets[:0], total + size
                         if total >= 32 * size:
                             size = min(2 * size, MOST_BATCH)
-                    around, targets, waiting = [a[done:]], [t[done:]], len(t) - done
-        if waiting:
-            step(net, memory, np.concatenate(around), np.concatenate(targets))
-            total += waiting
+        if len(targets):
+            step(net, memory, around, targets)
+            total, last = total + len(targets), int(targets.sum())
         if total:
             cut = np.array_split(packed(net), CHUNKS)
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int64()), "salt": pa.array([int(targets[-1].sum() + total) % SALTS if len(targets[-1]) else total % SALTS] * CHUNKS, pa.int64()), "weight": pa.array([total] * CHUNKS, pa.int64()), "part": pa.array([c.tobytes() for c in cut], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int64()), "salt": pa.array([(last + total) % SALTS] * CHUNKS, pa.int64()), "weight": pa.array([total] * CHUNKS, pa.int64()), "part": pa.array([c.tobytes() for c in cut], pa.binary())})
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["weight", "part"])
